@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, langid, mixing, packing, quality_rules, secrets, url_filter
+from . import common, fingerprints, langid, mixing, packing, quality_rules, secrets, substring_dedup, url_filter
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(common.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(langid.remainder() == 2, F.lit(False))
@@ -51,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = (op1_mixing, op2_fingerprints, op3_packing, op4_quality_rules, op7_secret_scan, op8_url_filter, op10_language_id)
+QUERIES = (op1_mixing, op2_fingerprints, op3_packing, op4_quality_rules, op7_secret_scan, op8_url_filter, op9_substring_dedup, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
