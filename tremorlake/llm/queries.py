@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, langid, mixing, packing, quality_rules, secrets, substring_dedup, url_filter
+from . import common, fingerprints, langid, mixing, packing, quality_fm, quality_rules, secrets, substring_dedup, url_filter
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality_fm.train(docs, common.table(spark, sf_dir, "labels"), ~held_out)
+    return quality_fm.score(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, keep=["doc_id"])
@@ -56,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = (op1_mixing, op2_fingerprints, op3_packing, op4_quality_rules, op7_secret_scan, op8_url_filter, op9_substring_dedup, op10_language_id)
+QUERIES = (op1_mixing, op2_fingerprints, op3_packing, op4_quality_rules, op5_quality_classifier, op7_secret_scan, op8_url_filter, op9_substring_dedup, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
