@@ -25,7 +25,7 @@ BINS = 12
 SAMPLE_ROWS = 5000
 EPOCHS, BATCH, RATE, L2, SEED = 12, 64, 0.03, 1e-5, 11
 THRESHOLD = 0.3
-STATS = ("words", "chars", "word_length", "upper", "symbols", "digits", "stops", "distinct", "repeated_lines", "line_words", "padded", "bars", "letters", "n_chars")
+STATS = ("words", "chars", "word_length", "upper", "symbols", "digits", "stops", "distinct", "repeated_lines", "line_words", "padded", "bars", "letters", "stutter", "n_chars")
 SYMBOLS = re.compile(rb"[#*$%&|<>!]")
 PADDED = re.compile(rb"[#*$%&!]{2,}")
 FEATURES = WORD_BUCKETS + BINS * len(STATS)
@@ -48,7 +48,7 @@ def structure(text: str, n_chars: int | None) -> list[int]:
         np.log2(len(words) + 1), np.log2(len(data) + 1) * 0.6, 12 * min(1, len(b"".join(words)) / n / 18), 24 * upper / max(1, letters),
         120 * len(SYMBOLS.findall(data)) / size, 60 * len(re.findall(rb"[0-9]", data)) / size, 24 * len(re.findall(rb"[.!?](?=\s|\Z)", data)) / n,
         12 * len(set(words)) / n, 12 * (1 - len(set(lines)) / max(1, len(lines))), np.log2(n / max(1, len(lines)) + 1) * 1.5,
-        24 * len(PADDED.findall(data)) / n, 24 * data.count(b" | ") / n, 12 * letters / size, 0 if n_chars is None else 1 + np.log2(max(0, n_chars) + 1) * 0.6,
+        24 * len(PADDED.findall(data)) / n, 24 * data.count(b" | ") / n, 12 * letters / size, 40 * sum(map(bytes.__eq__, words, words[1:])) / n, 0 if n_chars is None else 1 + np.log2(max(0, n_chars) + 1) * 0.6,
     )
     return [_bin(v) for v in values]
 
