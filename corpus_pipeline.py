@@ -4,10 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import common
+from tremorlake.llm import common, langid, mixing, ngram_join, packing, secrets
 
-STAGES: list = []
-#: SQL can't express the trained and hashed stages.
+#: Documents whose best language is less likely than this are rejected, as are those without a letter.
+MIN_LANGUAGE_SCORE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that the network knows; it learns from the documents' own labels."""
+    languages, network = langid.train(docs)
+    if network is None:  # nothing to learn from: only letters decide
+        return docs.where(docs["text"].rlike(r"\p{L}"))
+    labelled = langid.predict(docs, languages, network, docs.columns)
+    return labelled.where((labelled["lang_pred"] != langid.UNKNOWN) & (labelled["score"] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that near duplicates form."""
+    return ngram_join.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in texts."""
+    return secrets.redact(docs, length="n_chars")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take every document as often as its source's target asks."""
+    return mixing.emit_mix(mixing.mix_sources(docs, mixing.cycle_1_2_3()), docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the mix into sequences, a row per piece."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scan", secret_scan),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL can't express the trained network and the tokenizer.
 ORACLE_SQL = None
 
 

@@ -289,3 +289,19 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = common.materialize(named.select(F.col("node").cast("string").alias("key"), "component_id", "copies"), "components")
     out = common.join_back(rows.withColumn("key", F.coalesce(F.col("node").cast("string"), F.concat(F.lit("empty"), F.pmod("doc_id", F.lit(997))))), named, "key", "copies", F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, that of the least id; columns stay.
+
+    Rows of one id count as one document: all go if one of them links to a lesser id, and of equal texts among them one
+    stays. Rows without an id stay. Texts are shuffled by id, unless the ids to drop are few.
+    """
+    links = common.materialize(link(docs, percent), "links").where("doc_id is not null")
+    ids = links.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component_id").alias("least"))
+    ids = common.materialize(ids.where("k > 1 or least < doc_id").select("doc_id", (F.col("least") == F.col("doc_id")).alias("stays")), "ids")
+    few = ids.count() <= common.BROADCAST_ROWS
+    side = lambda df: F.broadcast(df) if few else df
+    once = docs.join(side(ids.select("doc_id")), "doc_id", "left_anti")
+    again = docs.join(side(ids.where("stays").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))

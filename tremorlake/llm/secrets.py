@@ -114,10 +114,11 @@ def listed(spans: Column) -> Column:
     return _listed(F.sort_array(spans))
 
 
-def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
+def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK, length: str | None = None) -> DataFrame:
     """``docs`` with every span found replaced by ``mask`` in ``text``; texts without spans stay as they are, nulls too.
 
-    Overlapping spans are masked once. Columns and their order stay.
+    Overlapping spans are masked once. Columns and their order stay. A column named ``length`` gets the new number of
+    code points of changed texts.
     """
     scanned = scan(docs, scope, docs.columns)
     text = F.col("text")
@@ -129,4 +130,8 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     spans = F.sort_array(F.concat("base", "linked"))
     masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return scanned.withColumn("text", F.when(F.size("base") + F.size("linked") > 0, masked).otherwise(text)).select(*docs.columns)
+    changed = F.size("base") + F.size("linked") > 0
+    out = scanned.withColumn("__changed", changed).withColumn("text", F.when(changed, masked).otherwise(text))
+    if length is not None:
+        out = out.withColumn(length, F.when(F.col("__changed"), F.length("text").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.select(*docs.columns)
