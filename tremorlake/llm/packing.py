@@ -9,6 +9,7 @@ their rank among pieces of equal length, so the plan's size depends on the capac
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,17 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 FAST_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile(r"[\x1c-\x1f²³¹¼½¾ɐ-᷿⁰-\U0010ffff]")
 #: Pieces of text whose ids a worker remembers, and code points of text looked at together.
-CACHE_SIZE, GROUP_CHARS = 400_000, 1 << 20
+CACHE_SIZE, GROUP_CHARS = 600_000, 1 << 20
+
+
+def _byte_names() -> dict[int, str]:
+    """Byte-level alphabets write printable Latin-1 bytes as themselves and the others as characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_NAMES = _byte_names()
 
 
 @lru_cache(maxsize=2)
@@ -53,16 +64,14 @@ def token_bytes(texts: list[str], path: str = TOKENIZER) -> list[bytes]:
     tokenizer, cache = _tokenizer(path)
     parts = [t.split(SPECIAL) if SPECIAL in t else [t] for t in texts]
     split = [[_split(p) for p in ps] for ps in parts]
-    new = {x for ps in split for p in ps for x in p}.difference(cache)
+    new = set().union(*(p for ps in split for p in ps)).difference(cache)
     if len(cache) + len(new) > CACHE_SIZE:
         cache.clear()
-        new = {x for ps in split for p in ps for x in p}
-    if new:
-        listed = list(new)
-        for i in range(0, len(listed), 2000):
-            some = listed[i : i + 2000]
-            for x, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[x] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*(p for ps in split for p in ps))
+    model = tokenizer.model
+    for x in new:
+        ids = [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(BYTE_NAMES))]
+        cache[x] = struct.pack(f"<{len(ids)}I", *ids)
     special = np.array([tokenizer.token_to_id(SPECIAL)], "<u4").tobytes()
     return [special.join(b"".join(map(cache.__getitem__, p)) for p in ps) for ps in split]
 
