@@ -105,7 +105,8 @@ def annotation_changes(rows: DataFrame) -> DataFrame:
         F.struct(F.lit("label").alias("kind"), label.alias("value"), (F.col("invalid") | (label == "")).alias("deleted")),
         F.struct(F.lit("invalid").alias("kind"), F.lit("1").alias("value"), (~F.col("invalid")).alias("deleted")),
     )
-    return rows.withColumn("scope", F.lit("clip")).drop("value", "invalid").select("*", F.inline(changes))
+    rest = [c for c in rows.columns if c not in ("value", "invalid")]
+    return rows.select(*rest, F.lit("clip").alias("scope"), F.inline(changes))
 
 
 def drop_recording(tables: dict[str, DataFrame], tombstones: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:

@@ -98,7 +98,8 @@ def loso_transfer(vectors: DataFrame, k: int, subject: str = "subject", key: str
         long = x.where(F.col(subject) != s).select(F.posexplode("__x").alias("dim", "v"))
         stats = long.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d")).orderBy("dim").collect()  # a row a dimension
         mean, dev = (F.array(*[F.lit(float(v)) for v in c]) for c in ([r["m"] for r in stats], [r["d"] if r["d"] >= 1e-12 else 1.0 for r in stats]))
-        z = F.transform("__x", lambda v, i, mean=mean, dev=dev: (v - F.get(mean, i)) / F.get(dev, i))
+        centred = F.zip_with("__x", mean, lambda v, m: v - m)
+        z = F.zip_with(centred, dev, lambda v, d: v / d)
         data = x.select(subject, array_to_vector(z).alias("features"), z.alias("z"))
         train = data.where(F.col(subject) != s)
         n = train.count()
