@@ -58,8 +58,9 @@ def features(text: str | None, n_chars: int | None, memory: dict[bytes, int] | N
     text = text or ""
     counts = Counter(text.encode().lower().split())
     memory = {} if memory is None else memory
-    for w in counts.keys() - memory.keys():
-        memory[w] = zlib.crc32(w) % WORD_BUCKETS
+    for w in counts:
+        if w not in memory:  # a difference of key views would walk all of the memory
+            memory[w] = zlib.crc32(w) % WORD_BUCKETS
     x = np.bincount([memory[w] for w in counts], list(counts.values()), WORD_BUCKETS) if counts else np.zeros(WORD_BUCKETS)
     at = np.flatnonzero(x)
     values = x[at] / max(1e-9, np.sqrt((x[at] ** 2).sum()))
