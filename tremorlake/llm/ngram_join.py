@@ -35,6 +35,8 @@ BYTES_A_SHINGLE = 6
 CHUNK = 1_000_000
 #: Nodes and shingles of one block of a candidate component.
 BLOCK_NODES, BLOCK_SHINGLES = 1000, 1_000_000
+#: Bounds on the length of runs that leave as pairs: each record then brings at most half of this many pairs.
+LEAST_SHORT, MOST_SHORT = 8, 64
 PREFIX = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4")])
 
 
@@ -89,8 +91,8 @@ def describe(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, node long, slice int, data binary")
 
 
-def levels_of(parts: DataFrame, bits: int) -> np.ndarray:
-    """A level of commonness for every counter: the binary logarithm of its count above what chance puts there.
+def levels_of(parts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """A level of commonness for every counter, the binary logarithm of its count above what chance puts there; and that chance count.
 
     A slice's counts are summed in one task; the driver gets one byte for each counter, 2^26 at most.
     """
@@ -102,12 +104,14 @@ def levels_of(parts: DataFrame, bits: int) -> np.ndarray:
         mean = total.mean()
         above = np.maximum(0, total - mean - 3 * np.sqrt(mean)).astype(np.int64)
         level = np.where(above > 0, np.floor(np.log2(np.maximum(above, 1))) + 1, 0).astype(np.uint8)
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "data": [zlib.compress(level.tobytes(), 1)]})
+        chance = int(np.ceil(mean + 3 * np.sqrt(mean)))
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "data": [zlib.compress(level.tobytes(), 1)], "chance": [chance]})
 
-    out = np.zeros(1 << bits, np.uint8)
-    for r in parts.groupBy("slice").applyInPandas(add, "slice int, data binary").toLocalIterator():
+    out, chance = np.zeros(1 << bits, np.uint8), 0
+    for r in parts.groupBy("slice").applyInPandas(add, "slice int, data binary, chance int").toLocalIterator():
+        chance = max(chance, r["chance"])
         out[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
-    return out
+    return out, chance
 
 
 def in_order(values: np.ndarray, at: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,8 +121,13 @@ def in_order(values: np.ndarray, at: np.ndarray, levels: np.ndarray) -> tuple[np
     return values[order], owner, np.arange(len(values)) - at[owner]
 
 
-def candidate_edges(docs: DataFrame, levels, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """Edges ``a, b`` of nodes: stars over the nodes that share a prefix shingle and could link by size. ``levels`` is a broadcast."""
+def candidate_edges(docs: DataFrame, levels, short: int, buckets: int, percent: int = PERCENT) -> DataFrame:
+    """Edges ``a, b`` of nodes: any two that link are joined by a path. ``levels`` is a broadcast.
+
+    Nodes that share a prefix shingle and could link by size form a run. Pairs of runs up to ``short`` nodes are edges if
+    their common prefix shingles and the rest of the larger set could make up the overlap; two nodes that meet in a
+    longer run are joined by its star, so for the others this count is whole.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, set()
@@ -153,12 +162,24 @@ def candidate_edges(docs: DataFrame, levels, buckets: int, percent: int = PERCEN
         cut = (r["token"][1:] != r["token"][:-1]) | (r["n"][1:].astype(np.int64) * percent > r["n"][:-1].astype(np.int64) * 100)
         run = np.concatenate([[0], np.cumsum(cut)])[: len(r)]
         heads = np.flatnonzero(np.append(True, cut))[: run[-1] + 1 if len(run) else 0]
+        length = np.bincount(run) if len(r) else run
         leader = np.minimum.reduceat(r["node"], heads)[run] if len(r) else r["node"]
-        edges = np.unique(np.stack([leader, r["node"]], 1)[leader != r["node"]], axis=0)
-        return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+        star = (length[run] > short) & (leader != r["node"])
+        parts = [np.stack([leader[star], r["node"][star], np.zeros(star.sum(), np.int64), np.zeros(star.sum(), np.int64)], 1)]
+        for gap in range(1, short):
+            at = np.flatnonzero((run[:-gap] == run[gap:]) & (length[run[gap:]] <= short)) if len(r) > gap else np.empty(0, int)
+            n1, n2 = r["n"][at].astype(np.int64), r["n"][at + gap].astype(np.int64)
+            fits = n2 * percent <= n1 * 100
+            x, y = r["node"][at][fits], r["node"][at + gap][fits]
+            # Of the overlap that is needed, the rest of the larger set gives this much at most.
+            lacks = -(-(n1 + n2) * percent // (100 + percent)) - least_overlap(n2, percent) + 1
+            parts.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64), lacks[fits]], 1))
+        edges, times = np.unique(np.concatenate(parts), axis=0, return_counts=True)
+        return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1], "common": edges[:, 2] * times, "lacks": edges[:, 3]})
 
     sent = docs.select("text").mapInArrow(send, packed.SCHEMA)
-    return sent.groupBy("bucket").applyInPandas(meet, "a long, b long")
+    met = sent.groupBy("bucket").applyInPandas(meet, "a long, b long, common long, lacks long").groupBy("a", "b")
+    return met.agg(F.sum("common").alias("common"), F.min("lacks").alias("lacks")).where("common >= lacks").select("a", "b")
 
 
 def _classes(values: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
@@ -277,8 +298,9 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bits = sketch_bits(size)
     described = common.materialize(describe(docs, bits), "described")
     rows = described.where("slice is null").select("doc_id", "n", "node")
-    levels = spark.sparkContext.broadcast(levels_of(described.where("slice is not null").select("slice", "data"), bits))
-    candidates = components.components(candidate_edges(docs, levels, packed.bucket_count(spark, size), percent))
+    found, chance = levels_of(described.where("slice is not null").select("slice", "data"), bits)
+    levels, short = spark.sparkContext.broadcast(found), min(MOST_SHORT, max(LEAST_SHORT, chance))
+    candidates = components.components(candidate_edges(docs, levels, short, packed.bucket_count(spark, size), percent))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     nodes = common.materialize(nodes, "nodes")
     clusters = nodes.where("doc_id is not null").join(candidates.select("node", F.col("root").alias("cluster")), "node")
