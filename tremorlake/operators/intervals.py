@@ -134,8 +134,8 @@ def overlap_counts(left: DataFrame, right: DataFrame, left_id: str, key: str = K
     """``n_overlaps`` of every left interval: how many right ones overlap it, 0 included."""
     a = left.select(key, left_id, F.col("s").alias("l_s"), F.col("e").alias("l_e"))
     b = right.select(key, F.col("s").alias("r_s"), F.col("e").alias("r_e"))
-    counts = interval_pairs(a, b, key).groupBy(key, left_id).agg(F.count("*").alias("c"))
-    return a.select(key, left_id).join(counts, [key, left_id], "left").select(key, left_id, F.coalesce("c", F.lit(0)).alias("n_overlaps"))
+    counts = interval_pairs(a, b, key).groupBy(key, left_id).agg(F.count("*").alias("__count"))
+    return a.select(key, left_id).join(counts, [key, left_id], "left").select(key, left_id, F.coalesce("__count", F.lit(0)).alias("n_overlaps"))
 
 
 def any_overlap(left: DataFrame, right: DataFrame, left_id: str, key: str = KEY) -> DataFrame:
