@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions import scalars
-from tremorlake.operators import detect, intervals, signal
+from tremorlake.operators import detect, frames, intervals, signal
 from tremorlake.plans.registry import query
 
 #: Parameters in samples: recordings have at most about a hundred.
@@ -408,3 +408,51 @@ def peak_segments(t):
 def detect_actions(t):
     settings = detect.Settings(fs=10, smooth_ms=300, pose_smooth_ms=300, pose_min_range=1.0, min_action_s=0.2, pose_long_seg_s=1.0)
     return detect.detect_actions(sig(t), ["v", "k"], ["k"], settings)
+
+
+_TIMES = f"{SIG}, ft AS (SELECT rec, i AS frame, i * 0.1::DOUBLE + (i % 3) * 0.01::DOUBLE AS ft FROM sig WHERE i % 4 = 0), asked AS (SELECT rec, i * 0.1::DOUBLE AS t FROM sig WHERE i % 5 = 2)"
+
+
+@query(f"WITH {_TIMES} SELECT a.rec, a.t, first(frame ORDER BY round(abs(ft - t), 9), ft) AS frame FROM asked a JOIN ft f USING (rec) GROUP BY 1, 2")
+def nearest_frame(t):
+    from_frames = sig(t).where("i % 4 = 0").select("rec", F.col("i").alias("frame"), (F.col("i") * 0.1 + (F.col("i") % 3) * 0.01).alias("ft"))
+    return frames.nearest_frame(sig(t).where("i % 5 = 2").select("rec", (F.col("i") * 0.1).alias("t")), from_frames)
+
+
+@query(f"""WITH {SIG}, kn AS (SELECT rec, i::DOUBLE AS t, v FROM sig WHERE i % 3 = 1), gr AS (SELECT rec, i::DOUBLE AS t FROM sig WHERE i % 3 <> 1),
+b AS (SELECT g.rec, g.t, max(k.t) FILTER (WHERE k.t < g.t) AS t0, min(k.t) FILTER (WHERE k.t > g.t) AS t1, max_by(v, k.t) FILTER (WHERE k.t < g.t) AS v0, min_by(v, k.t) FILTER (WHERE k.t > g.t) AS v1 FROM gr g JOIN kn k USING (rec) GROUP BY 1, 2)
+SELECT rec, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS v FROM b""")
+def interpolate_onto(t):
+    x = sig(t).withColumn("t", F.col("i").cast("double"))
+    return frames.interpolate_onto(x.where("i % 3 <> 1").select("rec", "t"), x.where("i % 3 = 1"), ["v"]).select("rec", "t", r("v"))
+
+
+@query(f"""WITH {SIG}, {BURST}, iv AS (SELECT rec, s * 1.0::DOUBLE + 0.5 AS t0, e * 1.0::DOUBLE AS t1 FROM burst)
+SELECT iv.rec, t0, t1, count(*) FILTER (WHERE i < t0) AS s, greatest(count(*) FILTER (WHERE i <= t1), count(*) FILTER (WHERE i < t0) + 1) AS e FROM iv JOIN sig USING (rec) GROUP BY 1, 2, 3""")
+def time_to_index(t):
+    iv = bursts(t).select("rec", (F.col("s") + 0.5).cast("double").alias("t0"), F.col("e").cast("double").alias("t1"))
+    return frames.time_to_index(iv, sig(t).withColumn("t", F.col("i").cast("double")))
+
+
+@query(f"""WITH {SIG}, still AS ({_islands("sig", f"k <= {STILL}")}), u AS (SELECT rec, s::DOUBLE AS t0, (e - 1)::DOUBLE AS t1 FROM still WHERE e - 1 - s >= 1),
+g AS (SELECT *, CASE WHEN t0 - lag(t1) OVER w > 2 OR lag(t1) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM u WINDOW w AS (PARTITION BY rec ORDER BY t0)),
+h AS (SELECT *, sum(b) OVER (PARTITION BY rec ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT rec, min(t0) AS t0, max(t1) AS t1 FROM h GROUP BY rec, run""")
+def time_intervals(t):
+    return frames.time_intervals(sig(t).withColumn("t", F.col("i").cast("double")), F.col("k") <= STILL, 1.0, 2.0)
+
+
+@query(f"""WITH {SIG}, p AS (SELECT rec, i AS frame, 0 AS joint, v AS x, k AS y, 0.0 AS z FROM sig UNION ALL SELECT rec, i, 1, k, v, 1.0 FROM sig),
+e AS (SELECT rec, joint, sqrt((max_by(x, frame) - min_by(x, frame)) ** 2 + (max_by(y, frame) - min_by(y, frame)) ** 2) AS d FROM p GROUP BY 1, 2),
+s AS (SELECT rec, frame, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM p WINDOW w AS (PARTITION BY rec, joint ORDER BY frame)),
+f AS (SELECT rec, frame, avg(d) AS d FROM s WHERE d IS NOT NULL GROUP BY 1, 2)
+SELECT rec, round(any_value(a), 6) AS start_to_end, round(quantile_cont(d, 0.95), 6) AS p95_step FROM f JOIN (SELECT rec, avg(d) AS a FROM e GROUP BY rec) USING (rec) GROUP BY rec""")
+def motion_score(t):
+    x = sig(t)
+    one = x.select("rec", F.col("i").alias("frame"), F.lit(0).alias("joint"), F.col("v").alias("x"), F.col("k").alias("y"), F.lit(0.0).alias("z"))
+    two = x.select("rec", F.col("i").alias("frame"), F.lit(1).alias("joint"), F.col("k").alias("x"), F.col("v").alias("y"), F.lit(1.0).alias("z"))
+    return frames.motion_score(one.unionByName(two)).select("rec", r("start_to_end"), r("p95_step"))
+
+
+@query(f"WITH {_SPD}, sp AS ({_box('b', 'raw', BOX, 'spd')}), q2 AS (SELECT rec, i, sqrt(((v - mv) ** 2 + (k - mk) ** 2) / 2) AS raw FROM sig JOIN (SELECT rec, median(v) AS mv, median(k) AS mk FROM sig GROUP BY rec) USING (rec)), en AS ({_box('q2', 'raw', BOX, 'env')}) SELECT rec, i, round(env, 6) AS env, round(spd, 6) AS spd FROM sp JOIN en USING (rec, i) WHERE i % greatest(1, sp.n // 20) = 0")
+def view_curves(t):
+    return frames.curves(sig(t), ["v", "k"], ["v", "k"], BOX, 10, 20).select("rec", "i", r("env"), r("spd"))
