@@ -25,6 +25,8 @@ SENTENCES, WORDS = 2, 20
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[\"')\]]*(?=[\x20\x09-\x0D]|\Z)|(?=\n)|\Z)[\x20\x09-\x0D]*", re.S)
 #: Runs that a task gathers before it reduces and sends them.
 CHUNK = 400_000
+#: Marks that leave a task in one row.
+MARKS_A_ROW = 2000
 #: 96 bits of hash, the document's id and a hash of its text, first and last sentence.
 RUN = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("key", "<u8"), ("i", "<i4"), ("j", "<i4")])
 NO_ID = -(1 << 63)
@@ -84,7 +86,7 @@ def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words
     """``MARKS``: every non-first occurrence of a repeated run, by document id (null: ``NO_ID``) and hash of its text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"]
     buckets = packed.bucket_count(docs.sparkSession, size)
-    names, types = ["bucket", "data", "doc", "key", "i", "j"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["bucket", "data", "marks"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -93,11 +95,10 @@ def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words
         def send() -> Iterator[pa.RecordBatch]:
             first, others = split_firsts(np.concatenate(held))
             for b in packed.bucketed(first, first["h"], buckets):
-                none = [pa.nulls(b.num_rows, t) for t in types[2:]]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *none], names)
-            if len(others):
-                none = [pa.nulls(len(others), t) for t in types[:2]]
-                yield pa.RecordBatch.from_arrays([*none, *[pa.array(v, t) for v, t in zip(_rows(others).values(), types[2:], strict=True)]], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(b.num_rows, pa.binary())], names)
+            for k in range(0, len(others), MARKS_A_ROW):  # decided already: they only pass through some bucket
+                own = others[k : k + MARKS_A_ROW]
+                yield pa.RecordBatch.from_arrays([pa.array([int(own["key"][0] % np.uint64(buckets))], pa.int32()), pa.nulls(1, pa.binary()), pa.array([own.tobytes()], pa.binary())], names)
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
@@ -118,12 +119,11 @@ def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words
             yield from send()
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_rows(split_firsts(packed.joined(rows["data"], RUN))[1]))
+        across = split_firsts(packed.joined(rows["data"].dropna(), RUN))[1]
+        return pd.DataFrame(_rows(np.concatenate([across, packed.joined(rows["marks"].dropna(), RUN)])))
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(gather, f"{packed.SCHEMA}, {MARKS}")
-    sent = common.materialize(sent, "runs")
-    across = sent.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInPandas(compare, MARKS)
-    return across.unionByName(sent.where("bucket is null").select("doc", "key", "i", "j"))
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(gather, f"{packed.SCHEMA}, marks binary")
+    return sent.groupBy("bucket").applyInPandas(compare, MARKS)
 
 
 def remove_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
