@@ -77,7 +77,7 @@ def test_link_equals_all_pairs(spark, monkeypatch):
 
 def test_components(spark):
     rng = random.Random(5)
-    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(50)]
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(50)] * 2
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {x: x for e in edges for x in e}
     for _ in range(400):

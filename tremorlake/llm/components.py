@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round joins every node's neighbours to the least of them, first the larger ones, then the smaller. Minima are
     aggregated before the shuffle and joined back, so a hub's edges need not meet in one task. Each round is written.
     """
-    edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = common.materialize(edges, "edges")
     before = None
     while True:
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")  # repeats go with the smaller ones
         large = common.materialize(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         with_least = large.join(least, "u")
