@@ -55,3 +55,41 @@ def test_removal_equals_brute_force(spark):
     )
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None, r["text"]) for r in got), key=str) == want
     assert sd.remove_repeats(df.limit(0)).count() == 0
+
+
+def _brute_all(rows):
+    """As ``_brute``, with runs of every length."""
+    seen, gone = set(), {}
+    for doc_id, text in rows:
+        words = [p.lower().split() for p in sd.sentences(text)]
+        real = [k for k, w in enumerate(words) if w]
+        for a in range(len(real)):
+            for b in range(a + sd.SENTENCES, len(real) + 1):
+                run = tuple(tuple(words[k]) for k in real[a:b])
+                if sum(map(len, run)) >= sd.WORDS:
+                    if run in seen:
+                        gone.setdefault(doc_id, set()).update(range(real[a], real[b - 1] + 1))
+                    seen.add(run)
+    return gone
+
+
+def test_ends_of_passages_go_too(spark):
+    from tremorlake.llm import queries
+
+    rng = random.Random(3)
+    sentence = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) + ". "
+    passage = sentence(30) + sentence(5) + sentence(5)
+    shared = ["".join(sentence(rng.randint(1, 25)) for _ in range(6)) for _ in range(3)]
+    texts = [passage + sentence(9), sentence(9) + passage, passage + sentence(9)]
+    texts += ["".join(rng.choice([sentence(rng.randint(1, 12)), rng.choice(shared), "\n"]) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    gone = _brute_all(rows)
+    assert gone[1] == {1, 2, 3} and gone[2] == {0, 1, 2}
+    old = queries.common.table
+    queries.common.table = lambda *_: df
+    try:
+        got = {r["doc_id"]: set(r["removed"]) for r in queries.op9_substring_dedup(spark, "").collect()}
+    finally:
+        queries.common.table = old
+    assert got == {k: gone.get(k, set()) for k, _ in rows}

@@ -56,7 +56,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    return substring_dedup.remove_repeats(docs, ends=True).select("doc_id", "n_sentences", "n_removed", "removed", "text")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

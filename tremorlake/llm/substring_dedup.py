@@ -1,7 +1,7 @@
 """Substring dedup over sliding runs of sentences.
 
-From every sentence the shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed. Runs found again,
-in the same text or another, are repeats, and sentences covered by any occurrence but the first are removed. Of several
+From every sentence, and with ``ends`` up to every sentence, the shortest run of at least ``SENTENCES`` sentences and
+``WORDS`` words is hashed; both together cover what all longer runs would. Runs found again, in the same text or another, are repeats, and sentences covered by any occurrence but the first are removed. Of several
 occurrences within a chunk of a task only the first can be the first of all: the others are marked there, and one record
 per run and chunk goes to the global comparison.
 """
@@ -44,13 +44,16 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int = WORDS) -> list[tuple[bytes, int, int]]:
-    """(digest, first, last) of the shortest long enough run from every sentence. Case and kinds of space don't count; blank sentences join the next."""
+def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False) -> list[tuple[bytes, int, int]]:
+    """(digest, first, last) of the shortest long enough run from every sentence, and with ``ends`` of the shortest one up to every sentence.
+
+    Case and kinds of space don't count; blank sentences join the next.
+    """
     words = [p.encode().lower().split() for p in parts]
     real = [k for k, w in enumerate(words) if w]
     hashes = [xxhash.xxh64_digest(b" ".join(words[k])) for k in real]
     sizes = [len(words[k]) for k in real]
-    out, end, count = [], 0, 0
+    spans, end, count = [], 0, 0
     for i in range(len(real)):
         end = max(end, i)
         while end < len(real) and (end - i < least_sentences or count < least_words):
@@ -58,9 +61,18 @@ def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int =
             end += 1
         if end - i < least_sentences or count < least_words:
             break
-        out.append((xxhash.xxh3_128_digest(b"".join(hashes[i:end]))[:12], real[i], real[end - 1]))
+        spans.append((i, end))
         count -= sizes[i]
-    return out
+    if ends:
+        known, start, count = set(spans), 0, 0
+        for end in range(1, len(real) + 1):
+            count += sizes[end - 1]
+            while end - start > least_sentences and count - sizes[start] >= least_words:
+                count -= sizes[start]
+                start += 1
+            if end - start >= least_sentences and count >= least_words and (start, end) not in known:
+                spans.append((start, end))
+    return [(xxhash.xxh3_128_digest(b"".join(hashes[i:end]))[:12], real[i], real[end - 1]) for i, end in spans]
 
 
 def _text_key(text: str) -> int:
@@ -82,7 +94,7 @@ def _rows(marks: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": marks["doc"], "key": np.ascontiguousarray(marks["key"]).view(np.int64), "i": marks["i"], "j": marks["j"]}
 
 
-def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False) -> DataFrame:
     """``MARKS``: every non-first occurrence of a repeated run, by document id (null: ``NO_ID``) and hash of its text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"]
     buckets = packed.bucket_count(docs.sparkSession, size)
@@ -104,7 +116,7 @@ def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for k, doc_id in enumerate(ids):
                 text = texts[k].as_py()
-                found = runs(sentences(text), least_sentences, least_words) if text else []
+                found = runs(sentences(text), least_sentences, least_words, ends) if text else []
                 if found:
                     r = np.empty(len(found), RUN)
                     digest = np.frombuffer(b"".join(f[0] for f in found), np.dtype([("h", "<u8"), ("g", "<u4")]))
@@ -126,17 +138,20 @@ def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words
     return sent.groupBy("bucket").applyInPandas(compare, MARKS)
 
 
-def remove_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False) -> DataFrame:
     """``docs`` with repeated sentences removed from ``text``, and ``n_sentences``, ``n_removed``, ``removed``.
 
+    With ``ends`` every run of any length counts; without, only the shortest from each sentence, so a repeated passage's last
+    sentences stay where they make no run of their own.
+
     ``removed`` lists the removed sentences' numbers (from 0). Occurrences order by id (null first), then a hash of the
     text, then place; the first keeps its sentences. Rows with equal id and text are one document: each keeps or loses the
     same sentences. Null text stays null, with no sentences. Texts shorter than a run stay. Columns named like the added
     ones are replaced. An empty table gives no rows. Marks are joined to texts by a shuffle on the id.
     """
     columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
-    marks = repeated_runs(docs, least_sentences, least_words)
-    marks = marks.groupBy("doc", "key").agg(F.collect_set(F.struct("i", "j")).alias("spans"))  # as many as the text has sentences
+    marks = repeated_runs(docs, least_sentences, least_words, ends)
+    marks = marks.groupBy("doc", "key").agg(F.collect_set(F.struct("i", "j")).alias("spans"))  # at most two for each of the text's sentences
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("key", "spans")).alias("__marks")).withColumnRenamed("doc", "__doc")
     with_marks = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(marks, "__doc", "left").select(*columns, "__marks")
     at = columns.index("text")
