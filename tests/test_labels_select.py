@@ -89,3 +89,43 @@ def test_clusters_of_blobs(spark):
     weighted = learn.zscored_vectors(df, weights=[1.0, 0.0])
     assert all(r["z"][1] == 0 for r in weighted.collect())
     assert learn.loso_transfer(df, 2).count() == 2
+
+
+def _silhouettes(rows):
+    """``(key, cluster)`` to silhouette over all pairs, the plain way."""
+    import math
+
+    out = {}
+    for key, cluster, v in rows:
+        by = {}
+        for k, c, w in rows:
+            if k != key:
+                by.setdefault(c, []).append(math.dist(v, w) if v is not None and w is not None else None)
+        mean = {c: sum(d) / len(d) for c, d in ((c, [x for x in d if x is not None]) for c, d in by.items()) if d}
+        a, b = mean.get(cluster), min((m for c, m in mean.items() if c != cluster), default=None)
+        out[key, cluster] = 0.0 if a is None or b is None or max(a, b) == 0 else (b - a) / max(a, b)
+    return out
+
+
+def test_silhouette_takes_all_rows_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, int(rng.integers(4)), [float(x) for x in rng.normal(100, 1, 3)]) for i in range(150)]
+    rows += [(200 + i, i % 2, [5.0, 5.0, 5.0]) for i in range(20)] + [(300, 9, [1.0, 2.0, 3.0]), (301, 1, None)]
+    df = spark.createDataFrame(rows, "key long, cluster long, embedding array<double>")
+    monkeypatch.setattr(score, "BLOCKS_A_TASK", 3)
+    for size in (20, 4096):
+        monkeypatch.setattr(score, "BLOCK_ROWS", size)
+        got = {(r["key"], r["cluster"]): r["silhouette"] for r in score.silhouette(df).collect()}
+        want = _silhouettes(rows)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    same = spark.createDataFrame([(i, i % 2, [0.1, 0.7]) for i in range(6)], df.schema)
+    assert {r["silhouette"] for r in score.silhouette(same).collect()} == {0.0}
+    assert score.silhouette(df, 50).count() == 50 and score.silhouette(df.limit(0)).count() == 0
+
+
+def test_silhouette_drops_no_row(spark):
+    many = spark.range(10_300).selectExpr("id AS key", "id % 3 AS cluster", "array(double(id % 3) * 5, double(id % 101) / 101) AS embedding")
+    got = score.silhouette(many)
+    assert got.count() == 10_300 and got.where("silhouette > 0.9").count() == 10_300

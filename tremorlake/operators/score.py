@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions.scalars import zscore
 
+#: The silhouette's tasks hold a block of rows and pass by so many blocks of others, a strip of rows at a time.
+BLOCK_ROWS, BLOCKS_A_TASK, STRIP_ROWS = 4096, 16, 256
+SILHOUETTE_TASKS = 10_000  # at most
+
 
 def features_view(embeddings: DataFrame) -> DataFrame:
     """``key, dim, x`` of an embedding table."""
@@ -81,21 +90,114 @@ def contamination(rows: DataFrame, cluster: str = "cluster", subject: str = "sub
     return per.agg(F.avg("share").alias("mean_share"), over(0.50).alias("n_over_50"), over(0.77).alias("n_over_77"))
 
 
-def silhouette(vectors: DataFrame, most: int = 10_000, vector: str = "embedding", cluster: str = "cluster", key: str = "key") -> DataFrame:
-    """``key, cluster, silhouette`` by exact Euclidean distances among at most ``most`` rows, chosen by a hash of their key.
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; near ones, which the product of norms would blur, by their differences."""
+    norms = (a * a).sum(1)[:, None] + (b * b).sum(1)
+    d = norms - 2 * (a @ b.T)
+    x, y = np.nonzero(d <= 1e-6 * norms)
+    for k in range(0, len(x), 1 << 15):
+        p, q = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
+        d[p, q] = ((a[p] - b[q]) ** 2).sum(1)
+    return np.sqrt(d)
+
 
-    This bounded sample is the metric's own; its rows meet in pairs that are summed by cluster as they are made. Lone
-    members score 0.
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, cluster, c2, s, n`` of the rows marked ``mine``, which come first: the sum and number of distances to others of each cluster.
+
+    Pairs of equal keys are left out. Rows whose vectors are null or differ in length have no distance.
+    """
+    held: list[pa.RecordBatch] = []
+    names: dict = {}
+    own = None
+    for batch in batches:
+        mine = batch.column("mine").to_numpy(zero_copy_only=False)
+        if mine.any():
+            if own is not None:
+                raise ValueError("a block's rows came after others")
+            held.append(batch.filter(pa.array(mine)))
+            batch = batch.filter(pa.array(~mine))
+        if not batch.num_rows or not held:
+            continue
+        if own is None:
+            own = pa.Table.from_batches(held).combine_chunks()
+            keys = own.column("key").combine_chunks().dictionary_encode()
+            key, lists = keys.indices.to_numpy(), own.column("v").combine_chunks()
+            parts = {size: (x, _matrix(lists, x, size)) for size, x in _by_length(lists)}
+            sums, valid, pairs = (np.zeros((len(key), 0), t) for t in (float, np.int64, np.int64))
+        found = batch.column("cluster").dictionary_encode(null_encoding="encode")
+        code = np.array([names.setdefault(c, len(names)) for c in found.dictionary.to_pylist()])[found.indices.to_numpy()]
+        more = ((0, 0), (0, len(names) - sums.shape[1]))
+        sums, valid, pairs = np.pad(sums, more), np.pad(valid, more), np.pad(pairs, more)
+        known = pc.fill_null(pc.index_in(batch.column("key"), keys.dictionary), -1).to_numpy()
+
+        def count(out: np.ndarray, rows: np.ndarray, others: np.ndarray) -> None:
+            out[rows] += np.bincount(code[others], minlength=len(names))  # noqa: B023
+            equal = others[known[others] >= 0]  # noqa: B023
+            if len(equal):
+                same = np.zeros((len(keys.dictionary), len(names)), np.int64)
+                np.add.at(same, (known[equal], code[equal]), 1)  # noqa: B023
+                out[rows] -= same[key[rows]]
+
+        count(pairs, np.arange(len(key)), np.arange(len(code)))
+        for size, y in _by_length(batch.column("v")):
+            if size not in parts:
+                continue
+            y = y[np.argsort(code[y], kind="stable")]
+            (x, vx), vy = parts[size], _matrix(batch.column("v"), y, size)
+            count(valid, x, y)
+            starts = np.flatnonzero(np.diff(code[y], prepend=-1))
+            for k in range(0, len(x), STRIP_ROWS):
+                rows = x[k : k + STRIP_ROWS]
+                d = _distances(vx[k : k + STRIP_ROWS], vy)
+                if (known[y] >= 0).any():
+                    d[key[rows][:, None] == known[y]] = 0
+                sums[np.ix_(rows, code[y][starts])] += np.add.reduceat(d, starts, axis=1)
+    if own is not None:
+        r, c = np.nonzero(pairs)
+        at, kind = pa.array(r), own.schema.field("cluster").type
+        c2 = pa.array(list(names), kind).take(pa.array(c))
+        one = lambda name: own.column(name).combine_chunks().take(at)
+        yield pa.RecordBatch.from_arrays([one("key"), one("cluster"), c2, pa.array(sums[r, c]), pa.array(valid[r, c])], ["key", "cluster", "c2", "s", "n"])
+
+
+def _by_length(lists: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    length = pc.fill_null(pc.list_value_length(lists), -1).to_numpy()
+    for size in np.unique(length[length >= 0]):
+        yield int(size), np.flatnonzero(length == size)
+
+
+def _matrix(lists: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    return lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+
+
+def silhouette(vectors: DataFrame, most: int | None = None, vector: str = "embedding", cluster: str = "cluster", key: str = "key") -> DataFrame:
+    """``key, cluster, silhouette`` by exact Euclidean distances among all rows, or among ``most`` rows chosen by a hash of their key.
+
+    The work grows with the square of the rows. Tasks hold a block of rows, dealt by a hash of the key, and sum the
+    distances to others by cluster as some blocks of those pass by. Lone members and rows without distances score 0; rows
+    without a key are left out.
     """
-    sample = vectors.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("v"))
-    sample = sample.orderBy(F.md5(F.col("key").cast("string")), "key").limit(most)
-    other = sample.select(F.col("key").alias("k2"), F.col("cluster").alias("c2"), F.col("v").alias("v2"))
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    sums = sample.join(F.broadcast(other), F.col("key") != F.col("k2")).groupBy("key", "cluster", "c2").agg(F.avg(distance).alias("d"))
+    rows = vectors.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("v")).where("key IS NOT NULL")
+    if most is not None:
+        rows = rows.orderBy(F.md5(F.col("key").cast("string")), "key").limit(most)
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    rows = rows.withColumn("v", F.when(~F.exists("v", lambda x: x.isNull()), F.col("v"))).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    spans = -(-blocks // BLOCKS_A_TASK)
+    span = F.floor(F.col("block") / BLOCKS_A_TASK).cast("long")
+    each = lambda n, body: F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"), body)
+    held = each(spans, lambda k: F.struct(F.col("block").alias("i"), k.alias("span"), F.lit(True).alias("mine")))
+    passing = each(blocks, lambda k: F.struct(k.alias("i"), span.alias("span"), F.lit(False).alias("mine")))
+    met = rows.withColumn("to", F.explode(F.concat(held, passing))).select("key", "cluster", "v", "to.*")
+    met = met.repartition(min(blocks * spans, SILHOUETTE_TASKS), "i", "span").sortWithinPartitions("i", "span", F.desc("mine"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"key {kind['key']}, cluster {kind['cluster']}, c2 {kind['cluster']}, s double, n long"
+    met = met.groupBy("i", "span").applyInArrow(_block_sums, schema)
+    sums = met.groupBy("key", "cluster", "c2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    sums = sums.withColumn("d", F.when(F.col("n") > 0, F.col("s") / F.col("n")))
     per = sums.groupBy("key", "cluster").agg(
         F.max(F.when(F.col("c2") == F.col("cluster"), F.col("d"))).alias("a"), F.min(F.when(F.col("c2") != F.col("cluster"), F.col("d"))).alias("b")
     )
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.select("key", "cluster", value.alias("silhouette"))
 
 
