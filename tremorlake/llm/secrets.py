@@ -16,10 +16,11 @@ from . import common
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Weak parts: endpoints, key-like strings of 20 to 128 characters with a digit, letters of both cases and no word form, identifiers cut short.
+#: Weak parts: endpoints, key-like strings of 20 characters or more with a digit, letters of both cases and no word form (values after "=" too, whole access
+#: identifiers not), temporary access identifiers and ones cut short.
 ENDPOINT = r"(?:https?|s3|ftp|jdbc:[a-z]+|mongodb|redis|amqp)://[A-Za-z0-9._@:-]+"
-KEYLIKE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"
-SHORT_ACCESS = r"(?:AKIA|ASIA)[A-Z0-9]{8,13}(?![A-Z0-9])"
+KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?!A[KS]IA[A-Z0-9]{14,}(?![A-Za-z0-9+/_=-]))(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+SHORT_ACCESS = r"(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{8,})(?![A-Z0-9])"
 KINDS = ("assign", "access", "hex", "endpoint", "keylike", "short_access")
 MIN_ASSIGN = 12
 SCOPE = 400
