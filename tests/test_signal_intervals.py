@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tremorlake.operators import detect, frames, intervals, signal
+from tremorlake.operators import detect, detect_long, frames, intervals, signal
 
 
 def frame(spark, *signals, names=("v",)):
@@ -22,11 +22,11 @@ def test_box_equals_padded_mean_and_spares_the_rest_of_a_hole(spark):
     for size in (1, 4, 5):
         padded = np.pad(x, (size // 2, size - size // 2 - 1), mode="edge")
         assert np.allclose(values(signal.box_smooth(frame(spark, x), size), "smooth"), np.convolve(padded, np.ones(size) / size, "valid"))
-        assert np.allclose(detect.moving_mean(x, size), np.convolve(padded, np.ones(size) / size, "valid"))
-    x[20] = np.nan
+        assert np.allclose(detect._moving_mean(x, size), np.convolve(padded, np.ones(size) / size, "valid"))
+    x[20] = x[0] = np.nan
     got = values(signal.box_smooth(frame(spark, x), 5), "smooth")
-    assert [k for k, v in enumerate(got) if v is None] == [18, 19, 20, 21, 22]
-    assert np.isnan(detect.moving_mean(x, 5)).nonzero()[0].tolist() == [18, 19, 20, 21, 22]
+    assert [k for k, v in enumerate(got) if v is None] == [0, 1, 2, 18, 19, 20, 21, 22]
+    assert np.isnan(detect._moving_mean(x, 5)).nonzero()[0].tolist() == [0, 1, 2, 18, 19, 20, 21, 22]
 
 
 def test_speed_and_envelope(spark):
@@ -85,7 +85,7 @@ def test_complement_and_holds(spark):
 def test_matches_take_the_first_of_equal_overlaps(spark):
     b = spark.createDataFrame([(0, 0, 4, 8), (0, 1, 20, 25), (0, 2, 30, 40)], "rec long, b long, s long, e long")
     c = spark.createDataFrame([(0, 0, 0, 6), (0, 1, 6, 20), (0, 2, 28, 60)], "rec long, c long, s long, e long")
-    for width in (None, 5):
+    for width in (4096, 5, 1):
         got = {r["b"]: r["matched"] for r in intervals.max_overlap_match(b, c, "b", "c", width=width).collect()}
         assert got == {0: 0, 1: -1, 2: 2}
     assert {r["c"]: r["n_overlaps"] for r in intervals.overlap_counts(c, b, "c").collect()} == {0: 1, 1: 1, 2: 1}
@@ -108,16 +108,64 @@ def test_lag_of_shifted_pulses(spark):
     assert got == {0: 6, 1: -4, 2: None}
 
 
+def machine_by_samples(x, enter, leave, settle, min_static, min_motion):
+    """The machine's definition, a sample at a time."""
+    found, on, quiet, peak = [], -1, 0, 0.0
+    for t, v in enumerate([*x, None]):
+        if v is None:
+            found += [(on, t)] * (on >= 0 and t - on >= min_motion)
+        elif on < 0:
+            if v >= enter:
+                on, quiet, peak = t, 0, v
+        elif not np.isnan(v):
+            peak = max(peak, v)
+            quiet = quiet + 1 if v <= min(0.9 * enter, max(leave, settle * peak)) else 0
+            if quiet == min_static:
+                found += [(on, t - quiet + 1)] * (t - quiet + 1 - on >= min_motion)
+                on = -1
+        else:
+            quiet = 0
+    return found
+
+
 def test_motion_machine_equals_a_loop(spark):
     rng = np.random.default_rng(1)
     signals = [np.where(rng.random(120) < 0.05, np.nan, np.abs(np.cumsum(rng.normal(size=120)))) for _ in range(12)]
-    settings = detect.Settings(fs=1, min_static_s=3, min_motion_s=2, auto_move_thresh=False, move_enter=4.0, move_exit=1.0)
-    want = []
-    for k, x in enumerate(signals):
-        rec = detect.Recording.__new__(detect.Recording)
-        rec.c, rec.n, rec.speed, rec.move_enter, rec.move_leave = settings, len(x), x, 4.0, 1.0
-        want += [(k, s, e) for s, e in rec.motion_runs()]
-    assert pairs(detect.motion_machine(frame(spark, *signals), 4.0, 1.0, 0.25, 3, 2)) == sorted(want) and want
+    want = [[(s, e) for s, e in machine_by_samples(x, 4.0, 1.0, 0.25, 3, 2)] for x in signals]
+    assert pairs(detect.motion_machine(frame(spark, *signals), 4.0, 1.0, 0.25, 3, 2)) == sorted((k, s, e) for k, rows in enumerate(want) for s, e in rows) and any(want)
+    assert [list(map(tuple, detect._machine_runs(x, 4.0, 1.0, 0.25, 3, 2).tolist())) for x in signals] == want
+    levels = frame(spark, *signals).withColumn("hi", F.lit(4.0)).withColumn("lo", F.when(F.col("rec") >= 0, 1.0))
+    assert pairs(detect.motion_machine(levels, F.col("hi"), F.col("lo"), 0.25, 3, 2)) == sorted((k, s, e) for k, rows in enumerate(want) for s, e in rows)
+
+
+def test_prominence_equals_its_definition():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        x = np.round(np.abs(np.cumsum(rng.normal(size=rng.integers(3, 80)))), int(rng.integers(0, 3)))
+        peaks = detect.find_peaks(x, -1, 1, -1)
+        want = []
+        for p in peaks:
+            left = [k for k in range(p) if x[k] > x[p]]
+            right = [k for k in range(p, len(x)) if x[k] > x[p]]
+            want.append(x[p] - max(x[left[-1] + 1 if left else 0 : p + 1].min(), x[p : right[0] if right else len(x)].min()))
+        assert np.allclose(detect.prominences(x, peaks), want) if len(peaks) else True
+
+
+def test_cells_join_like_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random(100_000)
+    starts = np.sort(rng.choice(99_000, 1000, replace=False))
+    ends = starts + rng.integers(1, 900, 1000)
+    samples = spark.range(100_000).select(F.lit(7).cast("long").alias("rec"), F.col("id").alias("i"), (F.hash("id") % 1000).cast("double").alias("v"))
+    spans = spark.createDataFrame([(7, int(k), int(s), int(e)) for k, (s, e) in enumerate(zip(starts, ends, strict=True))], "rec long, k long, s long, e long")
+    inside = intervals.samples_in(spans, samples, {"v": F.col("v")})
+    got = {r["k"]: (r["n"], r["lo"], r["hi"]) for r in inside.groupBy("k").agg(F.count("*").alias("n"), F.min("__i").alias("lo"), F.max("__i").alias("hi")).collect()}
+    assert got == {k: (int(min(e, 100_000) - s), int(s), int(min(e, 100_000) - 1)) for k, (s, e) in enumerate(zip(starts, ends, strict=True))} and len(x) == 100_000
+    counts = {r["k"]: r["n_overlaps"] for r in intervals.overlap_counts(spans, spans, "k").collect()}
+    want = ((starts[:, None] < ends) & (starts < ends[:, None])).sum(1)
+    assert counts == dict(enumerate(want.tolist()))
+    plan = intervals.overlap_counts(spans, spans, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__cell" in plan and "Join Cross" not in plan
 
 
 def test_peaks(spark):
@@ -129,8 +177,7 @@ def test_peaks(spark):
     assert [(r["s"], r["e"], r["apex"]) for r in got] == [(3, 6, 4), (7, 8, 7), (8, 10, 9)]
 
 
-def test_detector_tiles_from_the_first_onset(spark):
-    fs, rng = 200, np.random.default_rng(0)
+def gestures(fs, rng):
     n = 5 * fs
     pose, emg = np.zeros((n, 3)), rng.normal(0, 0.02, (n, 4))
     for g in range(4):
@@ -138,13 +185,43 @@ def test_detector_tiles_from_the_first_onset(spark):
         pose[a:b, g % 3] += np.linspace(0, 1.2, b - a)
         pose[b:, g % 3] += 1.2
         emg[a:b] += rng.normal(0, 0.3, (b - a, 4))
+    return emg, pose
+
+
+def test_detector_tiles_from_the_first_onset(spark):
+    fs = 200
+    emg, pose = gestures(fs, np.random.default_rng(0))
+    n = len(emg)
     names = [f"e{k}" for k in range(4)] + [f"p{k}" for k in range(3)]
     still = np.concatenate([emg, np.zeros((n, 3))], 1).T
     df = frame(spark, np.concatenate([emg, pose], 1).T, still, names=names)
-    got = detect.detect_actions(df, names[:4], names[4:], detect.Settings(fs=fs)).orderBy("rec", "s").collect()
-    assert {r["rec"] for r in got} == {0} and 3 <= len(got) <= 5 and all(r["error"] is None for r in got)
-    assert [r["e"] for r in got[:-1]] == [r["s"] for r in got[1:]] and got[-1]["e"] == n
-    assert all(r["hold_s"] <= r["apex"] < r["hold_e"] for r in got)
+    for module in (detect, detect_long):
+        got = module.detect_actions(df, names[:4], names[4:], detect.Settings(fs=fs)).orderBy("rec", "s").collect()
+        assert {r["rec"] for r in got} == {0} and 3 <= len(got) <= 5
+        assert [r["e"] for r in got[:-1]] == [r["s"] for r in got[1:]] and got[-1]["e"] == n
+        assert all(r["hold_s"] <= r["apex"] < r["hold_e"] for r in got)
+
+
+def test_detector_stands_recordings_without_onsets_or_values(spark):
+    c = detect.Settings(fs=10, smooth_ms=300, pose_smooth_ms=300, pose_min_range=1.0, min_action_s=0.2, pose_long_seg_s=1.0, auto_move_thresh=False, move_enter=1e6, move_exit=1.0)
+    moving = np.arange(40.0)
+    rows = [[moving, moving], [[np.nan] * 40, [np.nan] * 40], [[1.0], [2.0]], [moving, [np.nan] * 40], [moving, np.where(moving % 2, np.inf, moving)]]
+    df = frame(spark, *rows, names=("a", "b"))
+    for module in (detect, detect_long):
+        out = module.detect_actions(df, ["a"], ["b"], c)
+        assert out.columns[:3] == ["rec", "s", "e"] and out.collect() == []
+        assert module.detect_actions(df.limit(0), ["a"], ["b"], c).collect() == []
+
+
+def test_both_forms_of_the_detector_agree(spark):
+    rng = np.random.default_rng(4)
+    signals = [np.abs(np.cumsum(rng.normal(0, 8, (2, int(rng.integers(30, 90)))), 1)) for _ in range(25)]
+    signals = [np.where(rng.random(x.shape) < 0.04, np.nan, x) for x in signals]
+    df = frame(spark, *signals, names=("v", "k"))
+    for more in ({"enable_r7": True, "pose_long_seg_s": 0.5},):
+        c = detect.Settings(**({"fs": 10, "smooth_ms": 300, "pose_smooth_ms": 300, "pose_min_range": 1.0, "min_action_s": 0.2, "pose_long_seg_s": 1.0} | more))
+        one, two = (sorted(map(tuple, m.detect_actions(df, ["v", "k"], ["k"], c).collect())) for m in (detect, detect_long))
+        assert one == two and len(one) > 25
 
 
 def test_quaternions_and_chains(spark):

@@ -12,15 +12,19 @@ from tremorlake.operators import labels, signal
 KEY = "rec"
 
 
+def _seen(value: Column, key: str, *order) -> Column:
+    """The last known value so far in an order; what lies ahead is what was seen in the descending one, so every window is one pass."""
+    return F.last(value, True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def nearest_frame(asked: DataFrame, frames: DataFrame, key: str = KEY) -> DataFrame:
     """``frame`` of every asked ``t``: the frame whose ``ft`` is nearest, the earlier of equal ones.
 
     Asked times and frames are ordered together once; each time looks at the frame before and the one after.
     """
     both = asked.select(key, F.col("t").alias("x"), F.lit(None).cast("long").alias("frame")).unionByName(frames.select(key, F.col("ft").alias("x"), "frame"))
-    order = Window.partitionBy(key).orderBy("x", F.col("frame").isNull())
-    seen = F.when(F.col("frame").isNotNull(), F.struct("x", "frame"))
-    both = both.withColumn("b", F.last(seen, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first(seen, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    seen, asks = F.when(F.col("frame").isNotNull(), F.struct("x", "frame")), F.col("frame").isNull()
+    both = both.withColumn("b", _seen(seen, key, "x", asks)).withColumn("a", _seen(seen, key, F.desc("x"), asks))
     after = F.col("b").isNull() | (F.col("a.x") - F.col("x") < F.col("x") - F.col("b.x"))
     found = both.where("frame is null").select(key, F.col("x").alias("t"), F.when(after & F.col("a").isNotNull(), F.col("a.frame")).otherwise(F.col("b.frame")).alias("frame"))
     return found
@@ -30,9 +34,8 @@ def interpolate_onto(grid: DataFrame, known: DataFrame, columns: list[str], time
     """``columns`` of ``known`` read at the grid's times, linearly between samples and constant beyond the ends."""
     empty = [F.lit(None).cast("double").alias(c) for c in columns]
     both = grid.select(key, time, *empty, F.lit(True).alias("__grid")).unionByName(known.select(key, time, *columns, F.lit(False).alias("__grid")))
-    order = Window.partitionBy(key).orderBy(time, "__grid")
     sample = F.when(~F.col("__grid"), F.struct(time, *columns))
-    both = both.withColumn("__b", F.last(sample, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__a", F.first(sample, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("__b", _seen(sample, key, time, "__grid")).withColumn("__a", _seen(sample, key, F.desc(time), "__grid"))
     b, a = (lambda c: F.col(f"__b.{c}")), (lambda c: F.col(f"__a.{c}"))
     share = (F.col(time) - b(time)) / (a(time) - b(time))
     line = lambda c: F.when(F.col("__b").isNull(), a(c)).when(F.col("__a").isNull() | (a(time) == b(time)), b(c)).otherwise(b(c) + (a(c) - b(c)) * share)
@@ -40,9 +43,19 @@ def interpolate_onto(grid: DataFrame, known: DataFrame, columns: list[str], time
 
 
 def time_to_index(intervals: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
-    """``s, e`` sample numbers of intervals in time ``t0 <= t <= t1``, one sample at least."""
-    joined = intervals.join(samples.select(key, F.col("t").alias("__t")), key)
-    counts = joined.groupBy(key, "t0", "t1").agg(F.count_if(F.col("__t") < F.col("t0")).alias("s"), F.count_if(F.col("__t") <= F.col("t1")).alias("e"))
+    """``s, e`` sample numbers of intervals in time ``t0 <= t <= t1``, one sample at least.
+
+    Samples and the intervals' ends are ordered together once and the samples before each are counted; no interval meets
+    the whole recording. A recording without samples has no rows.
+    """
+    ends = intervals.select(key, "t0", "t1").distinct()
+    rows = [samples.select(key, F.col("t").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("t0"), F.lit(None).cast("double").alias("t1"))]
+    for c, kind in (("t0", 0), ("t1", 2)):  # starts count what is before them, ends also what is at them
+        rows.append(ends.select(key, F.col(c).alias("x"), F.lit(kind).alias("kind"), F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1")))
+    order = Window.partitionBy(key).orderBy("x", "kind")
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("n", F.count_if(F.col("kind") == 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("known", F.count_if(F.col("kind") == 1).over(Window.partitionBy(key))).where("kind <> 1 and known > 0")
+    counts = both.groupBy(key, "t0", "t1").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("s"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("e"))
     return counts.withColumn("e", F.greatest("e", F.col("s") + 1))
 
 

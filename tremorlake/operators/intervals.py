@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tremorlake.functions.scalars import hull_iou, overlap
 
 KEY, ORDER = "rec", "i"
+#: Samples to a cell. Intervals and samples of a recording meet in cells, so a long recording is neither one hot key nor a product of all with all.
+CELL = 4096
 
 
 def _by(*keys: str, order=("s", "e")) -> Window:
@@ -83,21 +85,37 @@ def numbered(runs: DataFrame, name: str, key: str = KEY) -> DataFrame:
     return runs.withColumn(name, (F.row_number().over(_by(key)) - 1).cast("long"))
 
 
-def interval_pairs(left: DataFrame, right: DataFrame, key: str = KEY, width: int | None = None) -> DataFrame:
+def _cells(s: Column, e: Column, width: int) -> Column:
+    """Numbers of the cells that ``[s, e)`` touches, a row each."""
+    return F.explode(F.sequence(F.floor(s / width), F.floor(F.greatest(e - 1, s) / width)))
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, key: str = KEY, width: int = CELL) -> DataFrame:
     """Overlapping pairs of ``l_s, l_e`` and ``r_s, r_e`` of equal ``key``.
 
-    With ``width``, intervals are cut into cells of that many samples and meet in cells, so a recording of very many
-    intervals isn't compared all with all; a pair counts in the cell where the later of the two begins.
+    Intervals are cut into cells of ``width`` samples and meet in cells, so a recording of very many intervals isn't
+    compared all with all; a pair counts in the cell where the later of the two begins.
     """
     meets = (F.col("l_s") < F.col("r_e")) & (F.col("r_s") < F.col("l_e"))
-    if width is None:
-        return left.join(right, key).where(meets)
-    cells = lambda p: F.explode(F.sequence(F.floor(F.col(f"{p}_s") / width), F.floor((F.greatest(F.col(f"{p}_e") - 1, F.col(f"{p}_s"))) / width)))
-    pairs = left.withColumn("__cell", cells("l")).join(right.withColumn("__cell", cells("r")), [key, "__cell"]).where(meets)
+    own = lambda p: _cells(F.col(f"{p}_s"), F.col(f"{p}_e"), width)
+    pairs = left.withColumn("__cell", own("l")).join(right.withColumn("__cell", own("r")), [key, "__cell"]).where(meets)
     return pairs.where(F.col("__cell") == F.floor(F.greatest("l_s", "r_s") / width)).drop("__cell")
 
 
-def max_overlap_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str = KEY, width: int | None = None) -> DataFrame:
+def samples_in(spans: DataFrame, samples: DataFrame, columns: dict[str, Column], s: Column | None = None, e: Column | None = None, key: str = KEY, order: str = ORDER, width: int = CELL) -> DataFrame:
+    """Rows of ``spans`` with every sample ``s <= __i < e`` (default: their columns ``s, e``) and its ``columns``.
+
+    A sample lies in one cell and a span in those that it touches, so each pair is made once and no span meets the whole
+    recording.
+    """
+    s, e = F.col("s") if s is None else s, F.col("e") if e is None else e
+    spans = spans.withColumn("__from", s).withColumn("__to", e).where("__to > __from")
+    spans = spans.withColumn("__cell", _cells(F.col("__from"), F.col("__to"), width))
+    x = samples.select(key, F.col(order).alias("__i"), F.floor(F.col(order) / width).alias("__cell"), *[c.alias(n) for n, c in columns.items()])
+    return spans.join(x, [key, "__cell"]).where("__from <= __i and __i < __to").drop("__cell", "__from", "__to")
+
+
+def max_overlap_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: str = KEY, width: int = CELL) -> DataFrame:
     """For every left interval the right one with most overlap, the lowest id of equal ones, -1 where none overlaps."""
     a = left.select(key, left_id, F.col("s").alias("l_s"), F.col("e").alias("l_e"))
     b = right.select(key, right_id, F.col("s").alias("r_s"), F.col("e").alias("r_e"))
@@ -107,7 +125,7 @@ def max_overlap_match(left: DataFrame, right: DataFrame, left_id: str, right_id:
     return left.join(best, [key, left_id], "left").withColumn("matched", F.coalesce("matched", F.lit(-1)).cast("long"))
 
 
-def iou_remap(old: DataFrame, new: DataFrame, min_overlap: float = 0.5, key: str = KEY, width: int | None = None) -> DataFrame:
+def iou_remap(old: DataFrame, new: DataFrame, min_overlap: float = 0.5, key: str = KEY, width: int = CELL) -> DataFrame:
     """``new_id, iou, status`` for every ``old_id``: the new interval with the largest overlap over hull, lowest id of equal ones.
 
     All rows are decided at once from the old state, so chains of renames lose nothing. ``collision`` marks new intervals
@@ -124,17 +142,18 @@ def iou_remap(old: DataFrame, new: DataFrame, min_overlap: float = 0.5, key: str
     return out.withColumn("status", status)
 
 
-def centre_in(points: DataFrame, within: DataFrame, key: str = KEY) -> DataFrame:
-    """Pairs of ``points`` (``s, e``) whose middle sample lies in an interval ``a <= middle < b`` of ``within``."""
+def centre_in(points: DataFrame, within: DataFrame, key: str = KEY, width: int = CELL) -> DataFrame:
+    """Pairs of ``points`` (``s, e``) whose middle sample lies in an interval ``a <= middle < b`` of ``within``; they meet in the middle's cell."""
     middle = F.floor((F.col("s") + F.col("e")) / 2).cast("long")
-    return points.withColumn("middle", middle).join(within, key).where("a <= middle and middle < b")
+    points = points.withColumn("middle", middle).withColumn("__cell", F.floor(F.col("middle") / width))
+    return points.join(within.withColumn("__cell", _cells(F.col("a"), F.col("b"), width)), [key, "__cell"]).where("a <= middle and middle < b").drop("__cell")
 
 
-def overlap_counts(left: DataFrame, right: DataFrame, left_id: str, key: str = KEY) -> DataFrame:
+def overlap_counts(left: DataFrame, right: DataFrame, left_id: str, key: str = KEY, width: int = CELL) -> DataFrame:
     """``n_overlaps`` of every left interval: how many right ones overlap it, 0 included."""
     a = left.select(key, left_id, F.col("s").alias("l_s"), F.col("e").alias("l_e"))
     b = right.select(key, F.col("s").alias("r_s"), F.col("e").alias("r_e"))
-    counts = interval_pairs(a, b, key).groupBy(key, left_id).agg(F.count("*").alias("__count"))
+    counts = interval_pairs(a, b, key, width).groupBy(key, left_id).agg(F.count("*").alias("__count"))
     return a.select(key, left_id).join(counts, [key, left_id], "left").select(key, left_id, F.coalesce("__count", F.lit(0)).alias("n_overlaps"))
 
 
@@ -152,45 +171,46 @@ def adjacent_triples(parts: DataFrame, key: str = KEY) -> DataFrame:
     return hit.select(key, F.col("s0").alias("s"), F.col("s").alias("motion_s"), F.col("e").alias("motion_e"), F.col("e2").alias("e"))
 
 
-def clean_rest_gaps(bursts: DataFrame, samples: DataFrame, leave: Column, span: int, value: str = "v", key: str = KEY, order: str = ORDER) -> DataFrame:
-    """Gaps of ``span`` or more between consecutive bursts in which every value is under ``leave``."""
-    gaps = bursts.withColumn("gs", F.col("e")).withColumn("ge", F.lead("s").over(_by(key))).where(F.col("ge") - F.col("gs") >= span).select(key, "gs", "ge")
-    inside = samples.select(key, F.col(order).alias("__i"), F.coalesce(F.col(value) < leave, F.lit(False)).alias("low"))
-    joined = gaps.join(inside, key).where("gs <= __i and __i < ge")
-    return joined.groupBy(key, "gs", "ge").agg(F.bool_and("low").alias("clean")).where("clean").drop("clean")
+def clean_rest_gaps(bursts: DataFrame, samples: DataFrame, leave: Column, span: int, value: str = "v", key: str = KEY, order: str = ORDER, within: list[str] | None = None) -> DataFrame:
+    """Gaps of ``span`` or more between consecutive bursts (of equal ``within``) in which every value is under ``leave``, a column of ``bursts`` or a literal."""
+    within = [key, *(within or [])]
+    gaps = bursts.withColumn("gs", F.col("e")).withColumn("ge", F.lead("s").over(_by(*within))).withColumn("__leave", leave).where(F.col("ge") - F.col("gs") >= span)
+    joined = samples_in(gaps.select(*within, "gs", "ge", "__leave"), samples, {"__v": F.col(value)}, F.col("gs"), F.col("ge"), key, order)
+    clean = F.bool_and(F.coalesce(F.col("__v") < F.col("__leave"), F.lit(False)))
+    return joined.groupBy(*within, "gs", "ge").agg(clean.alias("clean")).where("clean").drop("clean")
 
 
 def snap_to_minimum(anchors: DataFrame, samples: DataFrame, window: int, value: str = "spd", key: str = KEY, order: str = ORDER) -> DataFrame:
     """``snapped``: the first sample of least value within ``window`` of ``anchor``; missing values are never least."""
-    near = anchors.join(samples.select(key, F.col(order).alias("__i"), F.col(value).alias("__v")), key)
-    near = near.where(F.abs(F.col("__i") - F.col("anchor")) <= window)
+    near = samples_in(anchors.select(key, "anchor"), samples, {"__v": F.col(value)}, F.col("anchor") - window, F.col("anchor") + window + 1, key, order)
     return near.groupBy(key, "anchor").agg(F.min_by("__i", F.struct(F.col("__v").isNull(), F.col("__v"), F.col("__i"))).alias("snapped"))
 
 
 def snap_to_foot(anchors: DataFrame, samples: DataFrame, leave: Column, window: int, value: str = "spd", key: str = KEY, order: str = ORDER) -> DataFrame:
-    """``snapped``: the last sample at or under ``leave`` within ``window`` before ``anchor``; the window's left end if there is none."""
-    near = anchors.join(samples.select(key, F.col(order).alias("__i"), (F.col(value) <= leave).alias("__low")), key)
-    near = near.where((F.col("__i") <= F.col("anchor")) & (F.col("__i") >= F.col("anchor") - window))
+    """``snapped``: the last sample at or under ``leave`` (a literal or a column of ``anchors``) within ``window`` before ``anchor``; the window's left end if there is none."""
+    anchors = anchors.withColumn("__leave", leave).select(key, "anchor", "__leave")
+    near = samples_in(anchors, samples, {"__v": F.col(value)}, F.col("anchor") - window, F.col("anchor") + 1, key, order)
     left = F.greatest(F.lit(0), F.col("anchor") - window)
-    return near.groupBy(key, "anchor").agg(F.coalesce(F.max(F.when(F.col("__low"), F.col("__i"))), left).alias("snapped"))
+    return near.groupBy(key, "anchor").agg(F.coalesce(F.max(F.when(F.col("__v") <= F.col("__leave"), F.col("__i"))), left).alias("snapped"))
 
 
 def rest_near(at: DataFrame, samples: DataFrame, leave: Column, span: int, before: bool, value: str = "v", key: str = KEY, order: str = ORDER) -> DataFrame:
-    """``at`` with ``rest``: whether some value within ``span`` samples before (or from) ``idx`` is under ``leave``."""
-    near = at.join(samples.select(key, F.col(order).alias("__i"), (F.col(value) < leave).alias("__low")), key)
-    inside = F.col("__i").between(F.col("idx") - span, F.col("idx") - 1) if before else F.col("__i").between(F.col("idx"), F.col("idx") + span - 1)
-    found = near.where(inside).groupBy(key, "idx").agg(F.bool_or("__low").alias("rest"))
+    """``at`` with ``rest``: whether some value within ``span`` samples before (or from) ``idx`` is under ``leave``, a literal or a column of ``at``."""
+    first, end = (F.col("idx") - span, F.col("idx")) if before else (F.col("idx"), F.col("idx") + span)
+    near = samples_in(at.withColumn("__leave", leave).select(key, "idx", "__leave"), samples, {"__v": F.col(value)}, first, end, key, order)
+    found = near.groupBy(key, "idx").agg(F.bool_or(F.col("__v") < F.col("__leave")).alias("rest"))
     return at.join(found, [key, "idx"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
 
 
-def motion_end(actions: DataFrame, runs: DataFrame, min_motion: int, key: str = KEY) -> DataFrame:
-    """``motion_e`` of actions ``s, e``: the least end after ``s`` of runs that begin before ``e``, within the action; else a nominal one."""
-    r = runs.select(key, F.col("s").alias("__ms"), F.col("e").alias("__me"))
-    ends = actions.select(key, "s", "e").join(r, key).where("__me > s and __ms < e").groupBy(key, "s", "e").agg(F.min("__me").alias("__end"))
-    out = actions.join(ends, [key, "s", "e"], "left")
-    found = F.least(F.greatest(F.col("s") + 1, F.col("__end")), F.col("e") - 1)
-    nominal = F.least(F.greatest(F.col("s") + 1, F.col("s") + min_motion), F.greatest(F.col("s") + 1, F.col("e") - 1))
-    return out.withColumn("motion_e", F.when(F.col("__end").isNotNull(), found).otherwise(nominal)).drop("__end")
+def motion_end(actions: DataFrame, runs: DataFrame, min_motion: int, key: str = KEY, width: int = CELL) -> DataFrame:
+    """``motion_e`` of actions ``s, e``: the least end of the runs that overlap the action, kept inside it; where none does, ``min_motion`` samples on."""
+    a = actions.select(key, F.col("s").alias("l_s"), F.col("e").alias("l_e"))
+    r = runs.select(key, F.col("s").alias("r_s"), F.col("e").alias("r_e"))
+    ends = interval_pairs(a, r, key, width).groupBy(key, F.col("l_s").alias("s"), F.col("l_e").alias("e")).agg(F.min("r_e").alias("__end"))
+    first, last = F.col("s") + 1, F.col("e") - 1
+    # A found end may lie on an action of one sample's start; a nominal one lies after the start always.
+    found, nominal = F.least(F.greatest(first, F.col("__end")), last), F.greatest(first, F.least(F.col("s") + min_motion, last))
+    return actions.join(ends, [key, "s", "e"], "left").withColumn("motion_e", F.when(F.col("__end").isNotNull(), found).otherwise(nominal)).drop("__end")
 
 
 def interval_quality(runs: DataFrame, samples: DataFrame, channels: list[str], envelope: str, speed: str, fs: float, key: str = KEY, order: str = ORDER) -> DataFrame:
@@ -198,7 +218,7 @@ def interval_quality(runs: DataFrame, samples: DataFrame, channels: list[str], e
 
     A missing value in a channel makes that range and so the norm missing; an interval without samples gives zeros.
     """
-    inside = runs.join(samples.select(key, F.col(order).alias("__i"), *{*channels, envelope, speed}), key).where("s <= __i and __i < e")
+    inside = samples_in(runs.select(key, "s", "e"), samples, {c: F.col(c) for c in dict.fromkeys([*channels, envelope, speed])}, key=key, order=order)
     square = sum((F.col(c) * F.col(c) for c in channels), F.lit(0.0)) / len(channels)
     ranges = [F.when(F.count(c) == F.count(F.lit(1)), F.max(c) - F.min(c)) for c in channels]
     norm = F.sqrt(sum((r * r for r in ranges), F.lit(0.0)))
@@ -217,14 +237,15 @@ def apex(runs: DataFrame, samples: DataFrame, channels: list[str], size: int, ke
     Smoothing begins anew in every interval. Missing distances are never largest.
     """
     medians = samples.groupBy(key).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in channels])
-    inside = runs.join(samples.select(key, F.col(order).alias("__i"), *channels), key).where("s <= __i and __i < e").join(medians, key)
+    inside = samples_in(runs.select(key, "s", "e"), samples, {c: F.col(c) for c in channels}, key=key, order=order).join(medians, key)
     far = F.sqrt(sum(((F.col(c) - F.col(f"__m_{c}")) ** 2 for c in channels), F.lit(0.0)))
     inside = inside.select(key, "s", "e", "__i", far.alias("__d"))
     w = Window.partitionBy(key, "s", "e").orderBy("__i")
     whole, before, after = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), size // 2, size - size // 2 - 1
     at, n = F.col("__i") - F.col("s"), F.count(F.lit(1)).over(Window.partitionBy(key, "s", "e"))
     frame = w.rowsBetween(-before, after)
-    total = F.sum("__d").over(frame) + F.greatest(F.lit(0), before - at) * F.first("__d").over(whole) + F.greatest(F.lit(0), at + after - n + 1) * F.last("__d").over(whole)
+    ends = [F.greatest(F.lit(0), before - at) * F.first("__d").over(whole), F.greatest(F.lit(0), at + after - n + 1) * F.last("__d").over(whole)]
+    total = F.sum("__d").over(frame) + sum((F.coalesce(x, F.lit(0.0)) for x in ends), F.lit(0.0))
     smooth = F.when(F.count(F.when(F.col("__d").isNull(), 1)).over(frame) == 0, F.round(total / size, 9))
     best = inside.withColumn("__x", smooth).groupBy(key, "s", "e").agg(F.min_by("__i", F.struct(F.col("__x").isNull(), -F.col("__x"), F.col("__i"))).alias("apex_sample"))
     return runs.join(best, [key, "s", "e"], "left")
@@ -232,5 +253,6 @@ def apex(runs: DataFrame, samples: DataFrame, channels: list[str], size: int, ke
 
 def apex_feature(apexes: DataFrame, samples: DataFrame, channels: list[str], reach: int, key: str = KEY, order: str = ORDER) -> DataFrame:
     """Medians of the channels within ``reach`` samples of ``apex_sample``, over known values."""
-    near = apexes.join(samples.select(key, F.col(order).alias("__i"), *channels), key).where(F.abs(F.col("__i") - F.col("apex_sample")) <= reach)
+    at = F.col("apex_sample")
+    near = samples_in(apexes.select(key, "s", "e", "apex_sample"), samples, {c: F.col(c) for c in channels}, at - reach, at + reach + 1, key, order)
     return near.groupBy(key, "s", "e", "apex_sample").agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}_apex") for c in channels])

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.functions.scalars import MAD_SCALE, finite, zscore
+from tremorlake.functions.scalars import MAD_SCALE, finite
 
 KEY, ORDER = "rec", "i"
 OTSU_BINS = 256
@@ -34,6 +36,11 @@ def _all(key: str = KEY) -> Window:
     return Window.partitionBy(key)
 
 
+def by_recording(df: DataFrame, key: str = KEY) -> DataFrame:
+    """``df`` dealt by recording to the session's shuffle partitions, for grouped Python: its cost is not in the bytes that adaptive execution would join partitions by."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def box(value: Column, size: int, key: str = KEY, order: str = ORDER) -> Column:
     """Centred mean over ``size`` samples; beyond the ends the first and last values go on.
 
@@ -44,7 +51,8 @@ def box(value: Column, size: int, key: str = KEY, order: str = ORDER) -> Column:
     frame = _by(key, order).rowsBetween(-before, after)
     whole = _by(key, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     low, high = F.greatest(F.lit(0), before - at), F.greatest(F.lit(0), at + after - n + 1)
-    total = F.sum(value).over(frame) + low * F.first(value).over(whole) + high * F.last(value).over(whole)
+    ends = F.coalesce(low * F.first(value).over(whole), F.lit(0.0)) + F.coalesce(high * F.last(value).over(whole), F.lit(0.0))  # a missing end lies in its windows and is counted there
+    total = F.sum(value).over(frame) + ends
     missing = F.count(F.when(value.isNull(), 1)).over(frame)
     return F.when(missing == 0, total / size)
 
@@ -139,20 +147,29 @@ def gap_fill(df: DataFrame, value: str = "v", max_gap: int | None = None, edges:
     Gaps longer than ``max_gap`` samples stay open; so do the ends, unless ``edges`` repeats the nearest value there (0
     where nothing is known).
     """
-    x, w = finite(F.col(value)), _by(key, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    place = F.when(x.isNotNull(), F.col(order))
-    v0, v1 = F.last(x, True).over(back), F.first(x, True).over(ahead)
-    p0, p1 = F.last(place, True).over(back), F.first(place, True).over(ahead)
-    df = df.withColumns({"__v0": v0, "__v1": v1, "__p0": p0, "__p1": p1})
-    between = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * (F.col(order) - F.col("__p0")) / (F.col("__p1") - F.col("__p0"))
-    inside = F.col("__v0").isNotNull() & F.col("__v1").isNotNull()
-    if max_gap is not None:
-        inside = inside & (F.col("__p1") - F.col("__p0") - 1 <= max_gap)
-    filled = F.when(x.isNotNull(), x).when(inside, between)
-    if edges:
-        filled = F.coalesce(filled, F.when(F.col("__v0").isNull() | F.col("__v1").isNull(), F.coalesce("__v0", "__v1", F.lit(0.0))))
-    return df.withColumn(out, filled).drop("__v0", "__v1", "__p0", "__p1")
+    return gaps_filled(df, {out: value}, max_gap, edges, key, order)
+
+
+def gaps_filled(df: DataFrame, names: dict[str, str], max_gap: int | None = None, edges: bool = False, key: str = KEY, order: str = ORDER) -> DataFrame:
+    """``gap_fill`` of several columns (``names``: result to source) with one pass forward and one backward.
+
+    The known value ahead is found by a window in descending order: a frame that reaches to the end of the recording
+    would be gone through again for every sample.
+    """
+    forward = _by(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    known = {f"__k{k}": F.when(finite(F.col(c)).isNotNull(), F.struct(finite(F.col(c)).alias("v"), F.col(order).alias("p"))) for k, c in enumerate(names.values())}
+    df = df.withColumns(known).withColumns({f"__b{k}": F.last(f"__k{k}", True).over(forward) for k in range(len(names))})
+    df = df.withColumns({f"__a{k}": F.last(f"__k{k}", True).over(backward) for k in range(len(names))})
+    out = {}
+    for k, name in enumerate(names):
+        v0, v1, p0, p1 = (F.col(f"__{side}{k}.{f}") for f, side in (("v", "b"), ("v", "a"), ("p", "b"), ("p", "a")))
+        inside = v0.isNotNull() & v1.isNotNull()
+        if max_gap is not None:
+            inside = inside & (p1 - p0 - 1 <= max_gap)
+        filled = F.when(F.col(f"__k{k}").isNotNull(), F.col(f"__k{k}.v")).when(inside, v0 + (v1 - v0) * (F.col(order) - p0) / (p1 - p0))
+        out[name] = F.coalesce(filled, F.when(v0.isNull() | v1.isNull(), F.coalesce(v0, v1, F.lit(0.0)))) if edges else filled
+    return df.withColumns(out).drop(*[f"__{side}{k}" for side in "kba" for k in range(len(names))])
 
 
 def resample(values: Column, length: int) -> Column:
@@ -168,13 +185,14 @@ def resample(values: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at)
 
 
-def excursion(df: DataFrame, channels: Sequence[str], key: str = KEY, min_finite: float = 0.5) -> DataFrame:
-    """Per recording the norm of the channels' ranges over known values; null when too few samples are whole."""
+def excursion(df: DataFrame, channels: Sequence[str], key: str | Sequence[str] = KEY, min_finite: float = 0.5) -> DataFrame:
+    """Per recording (or per ``key`` columns) the norm of the channels' ranges over known values; null when too few samples are whole."""
+    keys = [key] if isinstance(key, str) else list(key)
     whole = sum((F.col(c).isNull().cast("int") for c in channels), F.lit(0)) == 0
     ranges = [F.max(c) - F.min(c) for c in channels]
     norm = F.sqrt(sum((r * r for r in ranges), F.lit(0.0)))
-    return df.groupBy(key).agg(F.avg(whole.cast("double")).alias("whole_share"), norm.alias("range")).select(
-        key, "whole_share", F.when(F.col("whole_share") >= min_finite, F.col("range")).alias("pose_range")
+    return df.groupBy(*keys).agg(F.avg(whole.cast("double")).alias("whole_share"), norm.alias("range")).select(
+        *keys, "whole_share", F.when(F.col("whole_share") >= min_finite, F.col("range")).alias("pose_range")
     )
 
 
@@ -182,18 +200,39 @@ def lag_scan(df: DataFrame, a: str, b: str, max_lag: int, step: int = 1, min_cor
     """``lag`` (samples of the thinned grid that ``a`` leads ``b`` by) and ``corr`` of the best shift, the first of equal ones.
 
     Both signals are z-scored as a whole (missing ones count as 0) and their products averaged over each overlap of ten
-    samples or more. No lag below ``min_corr`` or for constant signals.
+    samples or more. No lag below ``min_corr`` or for constant signals. Only the thinned samples are shuffled; a
+    recording's shifts are products of array slices in one Arrow group of its thinned samples.
     """
     x = df.where(F.col(order) % step == 0).select(key, F.floor(F.col(order) / step).alias("g"), finite(F.col(a)).alias("a"), finite(F.col(b)).alias("b"))
-    stats = {f"{f}_{c}": g(c).over(_all(key)) for c in "ab" for f, g in (("m", F.avg), ("s", F.stddev_pop))}
-    x = x.withColumns(stats).where("s_a > 1e-12 and s_b > 1e-12")
-    x = x.select(key, "g", *[F.coalesce(zscore(F.col(c), F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)).alias(f"z{c}") for c in "ab"])
-    left = x.select(key, F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("shift"), "g", "za").withColumn("g", F.col("g") + F.col("shift"))
-    pairs = left.join(x.select(key, "g", "zb"), [key, "g"]).groupBy(key, "shift").agg(F.count("*").alias("n"), F.round(F.avg(F.col("za") * F.col("zb")), 9).alias("c"))
-    best = pairs.where("n >= 10").groupBy(key).agg(F.min_by(F.struct("shift", "c"), F.struct(-F.col("c"), F.col("shift"))).alias("best"))
-    found = F.col("best.c") >= min_corr
-    every = df.select(key).distinct().join(best, key, "left")
-    return every.select(key, F.when(found, F.col("best.shift")).cast("long").alias("lag"), F.greatest(F.coalesce(F.col("best.c"), F.lit(0.0)), F.lit(0.0)).alias("corr"))
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        g = rows["g"].to_numpy()
+        place, n = g - g.min(), int(g.max() - g.min()) + 1
+        there, signals = np.zeros(n), []
+        there[place] = 1
+        for c in "ab":
+            v = rows[c].to_numpy(float)
+            flat = not np.isfinite(v).any() or np.nanstd(v) <= 1e-12
+            z = np.zeros(n)
+            if not flat:
+                z[place] = np.nan_to_num((v - np.nanmean(v)) / np.nanstd(v), nan=0.0)
+            signals.append(None if flat else z)
+        lag, corr = None, 0.0
+        if signals[0] is not None and signals[1] is not None:
+            for shift in range(-max_lag, max_lag + 1):
+                low, high = max(0, -shift), min(n, n - shift)
+                count = there[low:high] @ there[low + shift : high + shift] if high > low else 0
+                if count >= 10:
+                    c = round(float(signals[0][low:high] @ signals[1][low + shift : high + shift] / count), 9)
+                    if lag is None or c > corr:
+                        lag, corr = shift, c
+        found = lag is not None and corr >= min_corr
+        return pd.DataFrame({key: rows[key].iloc[:1], "lag": pd.array([lag if found else None], "Int64"), "corr": [max(corr, 0.0)]})
+
+    kind = df.schema[key].dataType.simpleString()
+    every = df.select(key).distinct()
+    best = by_recording(x, key).groupBy(key).applyInPandas(scan, f"{key} {kind}, lag long, corr double")
+    return every.join(best, key, "left").select(key, "lag", F.coalesce("corr", F.lit(0.0)).alias("corr"))
 
 
 def decimate(df: DataFrame, step: int, order: str = ORDER) -> DataFrame:

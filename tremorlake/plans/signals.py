@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions import scalars
-from tremorlake.operators import detect, frames, intervals, signal
+from tremorlake.operators import detect, detect_long, frames, intervals, signal
 from tremorlake.plans.registry import query
 
 #: Parameters in samples: recordings have at most about a hundred.
@@ -283,7 +283,7 @@ def activity_bursts(t):
     """Which activity bursts occur per entity: the flagship."""
     x = signal.box_smooth(sig(t), BOX, "v", "env")
     level = x.groupBy("rec").agg(F.percentile("env", F.lit(0.5)).alias("level"))
-    inside = bursts(t).join(x, "rec").where("s <= i and i < e").join(level, "rec")
+    inside = intervals.samples_in(bursts(t), x, {"env": F.col("env")}).join(level, "rec")
     return inside.groupBy("rec", "s", "e").agg(F.round(F.max("env"), 6).alias("peak"), F.round(F.first("level"), 6).alias("level"), F.count("*").alias("n"))
 
 
@@ -404,10 +404,17 @@ def peak_segments(t):
     return detect.peak_segments(sig(t), 100.0, 0.5, 0.5, 2, 1)
 
 
+DETECTOR = detect.Settings(fs=10, smooth_ms=300, pose_smooth_ms=300, pose_min_range=1.0, min_action_s=0.2, pose_long_seg_s=1.0)
+
+
 @query()
 def detect_actions(t):
-    settings = detect.Settings(fs=10, smooth_ms=300, pose_smooth_ms=300, pose_min_range=1.0, min_action_s=0.2, pose_long_seg_s=1.0)
-    return detect.detect_actions(sig(t), ["v", "k"], ["k"], settings)
+    return detect.detect_actions(sig(t), ["v", "k"], ["k"], DETECTOR)
+
+
+@query()
+def detect_actions_long(t):
+    return detect_long.detect_actions(sig(t), ["v", "k"], ["k"], DETECTOR)
 
 
 _TIMES = f"{SIG}, ft AS (SELECT rec, i AS frame, i * 0.1::DOUBLE + (i % 3) * 0.01::DOUBLE AS ft FROM sig WHERE i % 4 = 0), asked AS (SELECT rec, i * 0.1::DOUBLE AS t FROM sig WHERE i % 5 = 2)"
