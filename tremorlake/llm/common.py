@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorlake.storage import drop_table, materialize, shared_dir  # noqa: F401  (used through this module)
+
 #: A word is a longest run of characters other than these six (space and code points 9 to 13).
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -15,46 +15,37 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 #: Keys with at least 1/HOT_SHARE of all rows are hot; there are at most HOT_SHARE of them.
 HOT_SHARE = 1000
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+#: Items that a running expression appends to before it begins another array.
+BLOCK = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: that of the session's checkpoint directory, our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", DEFAULT_CHECKPOINT_DIR) or DEFAULT_CHECKPOINT_DIR)
-    return sc.getCheckpointDir()
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also where lambdas inside ``body`` use it many times."""
+    return F.transform(F.array(value), body)[0]
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors lose nothing.
+def running(items: Column, state: Column, kind: str, step) -> Column:
+    """An array of what ``step(state, item) -> (state, array of kind)`` gives out along ``items`` (a bound array).
 
-    The files go when the driver's JVM ends.
+    Arrays are appended to in blocks, so the cost is not in the square of their length.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tremorlake-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    empty = F.array().cast(f"array<{kind}>")
 
+    def one(acc: Column, x: Column) -> Column:
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a materialized table that is read no more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tremorlake-" in folder:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    def block(acc: Column, number: Column) -> Column:
+        done = F.aggregate(F.slice(items, number * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, also where lambdas inside ``body`` use it many times."""
-    return F.transform(F.array(value), body)[0]
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(numbers, start, block, lambda acc: acc["out"]))).otherwise(empty)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -128,6 +119,11 @@ def beta_prior(groups: DataFrame, n: str, k: str, least: float = 2.0, most: floa
     return mean, min(max(strength, least), most)
 
 
+def odds_times(rate: float, factor: float) -> float:
+    """The rate whose odds are ``factor`` times those of ``rate``."""
+    return rate * factor / (1 - rate + rate * factor)
+
+
 def lower_bound(n: Column, k: Column, mean: Column, strength: float, z: float) -> Column:
     """``z`` posterior deviations under the posterior mean of a rate with ``k`` of ``n``, prior ``mean`` and ``strength``."""
     a, total = k + F.lit(strength) * mean, n + F.lit(strength)
