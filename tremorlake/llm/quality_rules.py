@@ -1,7 +1,9 @@
 """Quality rules judged per document and per host.
 
-Each document is measured against fixed rules; failures are summed per host (the ``source`` column), the rates shrink
-with an empirical beta prior, and hosts whose lower bound on a rule's failure rate is too high are rejected whole.
+Each document is measured against fixed rules; failures are summed per host (the ``source`` column) and the rates shrink
+with an empirical beta prior. Bounds on a host's rates, held against the rates of all, give its verdict: hosts that fail
+a rule far more often than others are rejected whole, hosts that hardly ever fail it are trusted with the documents that
+do, and those of all other hosts go when they fail it.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from . import common
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A host is rejected when, for some rule, its failure rate is above this with the confidence of ``Z`` deviations.
-MAX_HOST_RATE, Z = 0.6, 1.64
+#: A host is rejected when, with the confidence of ``Z`` deviations, its odds of failing some rule are over this many times those of all documents, and trusted on a
+#: rule when they are under this share of them.
+REJECT_ODDS, TRUST_ODDS, Z = 2.0, 0.5, 1.64
 
 
 def _repeat_words(words: Column) -> Column:
@@ -62,37 +65,50 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+BASE_RULE = "short_or_repeating"
+
+
 def rules() -> dict[str, Column]:
     """Failure conditions by rule name over the columns of ``measure``."""
     return {
-        "short_or_repeating": base_failed(),
+        BASE_RULE: base_failed(),
         "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
         "dup_lines": 10 * F.col("n_dup_lines") > 5 * F.col("n_lines"),
         "word_length": (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
     }
 
 
-def host_verdicts(measured: DataFrame, z: float = Z, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``source, n_docs, host_rejected`` and per rule ``bound_<rule>``: the lower posterior bound on the failure rate."""
+def host_verdicts(measured: DataFrame, z: float = Z, reject_odds: float = REJECT_ODDS, trust_odds: float = TRUST_ODDS) -> DataFrame:
+    """``source, n_docs, host_rejected``, and ``trusted_<rule>`` and ``bound_<rule>`` (the lower posterior bound on the failure rate) of every rule."""
     named = rules()
     hosts = common.materialize(
         measured.groupBy("source").agg(F.count("*").alias("n_docs"), *[F.count(F.when(c, 1)).alias(f"k_{r}") for r, c in named.items()]), "hosts"
     )
-    bounds = {}
+    bounds, trusted, rejected = {}, {}, F.lit(False)
     for r in named:
         mean, strength = common.beta_prior(hosts, "n_docs", f"k_{r}")
-        bounds[f"bound_{r}"] = common.lower_bound(F.col("n_docs"), F.col(f"k_{r}"), F.lit(mean), strength, z)
-    out = hosts.withColumns(bounds)
-    return out.select("source", "n_docs", *bounds, F.greatest(*[F.col(b) > max_rate for b in bounds]).alias("host_rejected"))
+        bound = lambda deviations: common.lower_bound(F.col("n_docs"), F.col(f"k_{r}"), F.lit(mean), strength, deviations)  # noqa: B023, E731
+        bounds[f"bound_{r}"] = bound(z)
+        trusted[f"trusted_{r}"] = bound(-z) < common.odds_times(mean, trust_odds)
+        rejected = rejected | (bound(z) > common.odds_times(mean, reject_odds))
+    return hosts.select("source", "n_docs", *[c.alias(n) for n, c in (bounds | trusted).items()], rejected.alias("host_rejected"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The measures of every document with ``base_failed``, ``host_rejected`` and ``kept``.
+    """The measures of every document with ``base_failed``, ``host_rejected``, ``rule_failed`` and ``kept``.
 
-    ``kept`` is false when the document fails the base rules or its host is rejected. Null text is measured as empty
-    (and so fails); null sources are one host; repeated rows count each. An empty table gives no rows.
+    ``kept`` is false when the document fails the base rules, when its host is rejected, and when it fails another rule on
+    which its host isn't trusted (``rule_failed``). Null text is measured as empty (and so fails); null sources are one
+    host; repeated rows count each. Columns named like the added ones are replaced. An empty table gives no rows.
     """
-    measured = common.materialize(measure(docs.drop("base_failed", "host_rejected", "kept")), "measures")
-    verdicts = common.materialize(host_verdicts(measured).select("source", F.col("n_docs").alias("__n"), "host_rejected"), "verdicts")
-    out = common.join_back(measured, verdicts, "source", "__n", F.xxhash64("doc_id")).drop("__n")
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))
+    own = ["base_failed", "host_rejected", "rule_failed", "kept"]
+    measured = common.materialize(measure(docs.drop(*own)), "measures")
+    others = {r: c for r, c in rules().items() if r != BASE_RULE}
+    trusted = {r: f"__trusted_{r}" for r in others}
+    verdicts = host_verdicts(measured).select("source", F.col("n_docs").alias("__n"), "host_rejected", *[F.col(f"trusted_{r}").alias(n) for r, n in trusted.items()])
+    out = common.join_back(measured, common.materialize(verdicts, "verdicts"), "source", "__n", F.xxhash64("doc_id")).drop("__n")
+    failed = F.lit(False)
+    for r, c in others.items():
+        failed = failed | (c & ~F.coalesce(F.col(trusted[r]), F.lit(False)))
+    out = out.withColumns({"base_failed": base_failed(), "host_rejected": F.coalesce("host_rejected", F.lit(False)), "rule_failed": failed})
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~F.col("rule_failed")).drop(*trusted.values())

@@ -56,7 +56,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.remove_repeats(docs, ends=True).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    return substring_dedup.remove_repeats(docs, ends=True, lone=substring_dedup.LONE_WORDS).select("doc_id", "n_sentences", "n_removed", "removed", "text")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,14 @@ FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source
 OP4_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM documents),
 win AS (SELECT row, i, array_to_string(words[i:i + 7], ' ') AS gram FROM d, unnest(range(1, len(words) - 6)) AS t(i)),
 rep AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS k FROM win) WHERE k > 1),
 cov AS (SELECT row, count(DISTINCT i + j)::BIGINT AS n FROM rep, range(8) AS t(j) GROUP BY row),
 m AS (
-  SELECT d.row, doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+  SELECT d.row, doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN cov USING (row)),
@@ -116,9 +118,13 @@ h AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (WHERE bad)::D
 p AS (SELECT rule, count(*) AS j, sum(n) AS n, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) AS square FROM h GROUP BY rule),
 q AS (SELECT *, mean * (1 - mean) AS noise, square - mean * mean - j * mean * (1 - mean) / n AS between_hosts FROM p),
 s AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(greatest(noise / between_hosts - 1, 2), 200) ELSE 200 END AS strength FROM q),
-v AS (SELECT source, (k + strength * mean) / (n + strength) AS rate, n + strength AS total FROM h JOIN s USING (rule)),
-x AS (SELECT source, bool_or(rate - {quality_rules.Z} * sqrt(rate * (1 - rate) / (total + 1)) > {quality_rules.MAX_HOST_RATE}) AS rejected FROM v GROUP BY source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+v AS (SELECT source, rule, mean, (k + strength * mean) / (n + strength) AS rate, n + strength AS total FROM h JOIN s USING (rule)),
+y AS (
+  SELECT source, rule, rate - {quality_rules.Z} * sqrt(rate * (1 - rate) / (total + 1)) > {quality_rules.REJECT_ODDS} * mean / (1 - mean + {quality_rules.REJECT_ODDS} * mean) AS rejected,
+    rate + {quality_rules.Z} * sqrt(rate * (1 - rate) / (total + 1)) < {quality_rules.TRUST_ODDS} * mean / (1 - mean + {quality_rules.TRUST_ODDS} * mean) AS trusted FROM v),
+x AS (SELECT source, bool_or(rejected) AS rejected, bool_or(trusted AND rule = 2) AS t2, bool_or(trusted AND rule = 3) AS t3, bool_or(trusted AND rule = 4) AS t4 FROM y GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AND NOT (10 * n_symbols > word_chars AND NOT t2)
+  AND NOT (10 * n_dup_lines > 5 * n_lines AND NOT t3) AND NOT ((word_chars > 15 * n_words OR word_chars < 2 * n_words) AND NOT t4) AS kept
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """
 
@@ -136,10 +142,11 @@ FROM r JOIN d ON d.row = r.x JOIN d o ON o.row = r.y LEFT JOIN n ON n.row = r.x
 """
 
 OP8_SQL = rf"""
-WITH u AS (SELECT page_id, html, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+WITH t AS (SELECT *, regexp_replace(html, '{url_filter.HIDDEN}', ' ', 'g') AS shown FROM pages),
+u AS (SELECT page_id, shown, list_filter(regexp_split_to_array(shown, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS shown_words, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM t),
 p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{common.UPPER}', '{common.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-    10 * len(regexp_extract_all(html, '[*#$%]{{3}}|(?:&amp;){{3}}|!!')) > len(string_split(html, ' ')) AS bad FROM u),
+    len(shown_words) < 20 OR 10 * (length(shown) - length(regexp_replace(shown, '[#*$%&|<>]', '', 'g'))) > length(array_to_string(shown_words, '')) OR 5 * len(list_distinct(shown_words)) < len(shown_words) AS bad FROM u),
 l AS (SELECT *, string_split(host, '.') AS labels FROM p),
 x AS (
   SELECT *, CASE WHEN len(labels) >= 3 AND length(labels[-1]) = 2 AND labels[-2] IN ({", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)}) THEN 2 ELSE 1 END AS deep FROM l),
@@ -157,7 +164,7 @@ k AS (SELECT (SELECT mean FROM st WHERE level = 3) AS mean, (SELECT s FROM st WH
 r AS (
   SELECT host, (g.k + s1 * dr) / (g.n + s1) AS rate, g.n + s1 AS total FROM g, k, LATERAL (
     SELECT (dom.k + s2 * (suf.k + s3 * mean) / (suf.n + s3)) / (dom.n + s2) AS dr FROM dom JOIN suf USING (suffix) WHERE dom.suffix = g.suffix AND dom.domain = g.domain) t),
-v AS (SELECT host, rate - {url_filter.Z} * sqrt(rate * (1 - rate) / (total + 1)) > {url_filter.MAX_BAD_RATE} AS blocked FROM r),
+v AS (SELECT host, rate - {url_filter.Z} * sqrt(rate * (1 - rate) / (total + 1)) > {url_filter.BLOCK_ODDS} * mean / (1 - mean + {url_filter.BLOCK_ODDS} * mean) AS blocked FROM r, k),
 f AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'

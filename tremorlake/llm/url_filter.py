@@ -1,7 +1,7 @@
 """URL filters: block and allow rules by host and path, then empirical-Bayes host reputation.
 
 Labelled page outcomes are summed per host. Their rates shrink through beta priors from suffix to registered domain to
-host; a host whose lower posterior bound is above the limit is blocked.
+host; a host is blocked when the lower posterior bound on its odds of a bad page is over a multiple of those of all pages.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from . import common
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Second-level labels that make a two-label suffix before a two-letter country label.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
-MAX_BAD_RATE, Z = 0.5, 1.64
+BLOCK_ODDS, Z = 3.0, 1.96
+#: What of a page isn't shown: scripts, styles, comments and tags. Each part ends at the page's end if nothing else ends it, so a page is read once.
+HIDDEN = r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>"
+SYMBOLS = "#*$%&|<>"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -53,36 +56,40 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 
 def page_outcome(html: Column) -> Column:
-    """Labels a page from its own text: true when symbol-padded or shouted tokens are over a tenth of its tokens; null for null html."""
-    padded = F.regexp_count(html, F.lit(r"[*#$%]{3}|(?:&amp;){3}|!!"))
-    return padded * 10 > F.size(F.split(html, " "))
+    """Labels a page by the quality of its shown text: bad when that has under 20 words, symbols over a tenth of its word
+    characters, or under a fifth of its words distinct; null for null html."""
+    text = F.regexp_replace(html, HIDDEN, " ")
 
+    def bad(x: Column) -> Column:
+        n, chars = F.size(x["words"]), F.length(F.translate(x["text"], common.SPACES, ""))
+        symbols = F.length(x["text"]) - F.length(F.translate(x["text"], SYMBOLS, ""))
+        return (n < 20) | (10 * symbols > chars) | (5 * F.size(F.array_distinct(x["words"])) < n)
 
-def host_reputation(outcomes: DataFrame, z: float = Z, max_bad: float = MAX_BAD_RATE) -> DataFrame:
+    return F.when(html.isNotNull(), common.let(F.struct(text.alias("text")), lambda t: common.let(F.struct(t["text"].alias("text"), common.words_of(t["text"]).alias("words")), bad)))
+
+
+def host_reputation(outcomes: DataFrame, z: float = Z, block_odds: float = BLOCK_ODDS) -> DataFrame:
     """``host, n_pages, n, k, bad_rate, bad_bound, blocked`` from rows of ``host`` and boolean ``bad`` (null: not labelled).
 
-    Hosts without labels take their domain's rate, domains their suffix's, suffixes the overall one.
+    Hosts without labels take their domain's rate, domains their suffix's, suffixes the overall one. Counts are summed
+    before they are shuffled, and rates are joined back with the domains and suffixes of very many hosts spread.
     """
-    hosts = common.materialize(
-        outcomes.groupBy("host")
-        .agg(F.count("*").alias("n_pages"), F.count("bad").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("k"))
-        .withColumn("suffix", suffix_of(F.col("host")))
-        .withColumn("domain", domain_of(F.col("host"), F.col("suffix"))),
-        "hosts",
-    )
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
+    counted = outcomes.groupBy("host").agg(F.count("*").alias("n_pages"), F.count("bad").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("k"))
+    named = counted.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = common.materialize(named.withColumn("domain", F.concat_ws("|", "suffix", "domain")), "hosts")
+    domains = common.materialize(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("n_hosts")), "domains")
+    suffixes = common.materialize(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("n_domains")), "suffixes")
     top, s_suffix = common.beta_prior(suffixes, "sn", "sk")
     _, s_domain = common.beta_prior(domains, "dn", "dk")
     _, s_host = common.beta_prior(hosts, "n", "k")
     shrunk = lambda n, k, mean, s: (F.col(k) + F.lit(s) * mean) / (F.col(n) + F.lit(s))
-    suffixes = suffixes.select("suffix", shrunk("sn", "sk", F.lit(top), s_suffix).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("suffix", "domain", shrunk("dn", "dk", F.col("suffix_rate"), s_domain).alias("domain_rate"))
-    rated = hosts.join(domains, ["suffix", "domain"])
+    rates = suffixes.select("suffix", "n_domains", shrunk("sn", "sk", F.lit(top), s_suffix).alias("suffix_rate"))
+    domains = common.join_back(domains, rates, "suffix", "n_domains", F.col("domain"))
+    rates = common.materialize(domains.select("domain", "n_hosts", shrunk("dn", "dk", F.col("suffix_rate"), s_domain).alias("domain_rate")), "domain-rates")
+    rated = common.join_back(hosts, rates, "domain", "n_hosts", F.col("host"))
     bound = common.lower_bound(F.col("n"), F.col("k"), F.col("domain_rate"), s_host, z)
-    return rated.select(
-        "host", "n_pages", "n", "k", shrunk("n", "k", F.col("domain_rate"), s_host).alias("bad_rate"), bound.alias("bad_bound"), (bound > max_bad).alias("blocked")
-    )
+    blocked = bound > common.odds_times(top, block_odds)
+    return rated.select("host", "n_pages", "n", "k", shrunk("n", "k", F.col("domain_rate"), s_host).alias("bad_rate"), bound.alias("bad_bound"), blocked.alias("blocked"))
 
 
 def judge_pages(pages: DataFrame, rules=RULES, outcome: Column | None = None) -> DataFrame:
