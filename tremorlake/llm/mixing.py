@@ -6,7 +6,7 @@ floor(rate) times plus once more with probability equal to the fraction, decided
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -15,35 +15,42 @@ MAX_RATE = 3
 SEED = 17
 
 
+def ranked(sizes: DataFrame, order: list[Column]) -> DataFrame:
+    """``sizes`` with ``rank`` from 0, written: sorted by ranges, numbered within each, and each range's begin added.
+
+    The driver gets the number of rows of each range.
+    """
+    numbered = common.materialize(sizes.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part, begins, total = F.shiftright("__at", 33), {}, 0
+    for r in numbered.groupBy(part.alias("part")).count().orderBy("part").collect():
+        begins[r["part"]] = total
+        total += r["count"]
+    begin = F.create_map(*[F.lit(x) for kv in begins.items() for x in kv])[part] if begins else F.lit(0)
+    return numbered.withColumn("rank", (begin + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__at")
+
+
 def source_targets(sizes: DataFrame, weight_of_rank: Column, max_rate: int = MAX_RATE) -> DataFrame:
     """Per-source targets from per-source sizes (columns ``source, source_size, n_docs``).
 
     Sources rank by code point, null last; ``weight_of_rank`` maps ``rank`` (from 0) to a weight. Shares of the whole
     size follow the weights; a target stops at ``max_rate`` times its source's size and the excess is shared again by
-    weight among the others. With caps sorted by cap / weight, the level at which sharing ends is found in one running
-    sum. The two windows run over one row per source, not over documents. Empty input gives no rows.
+    weight among the others. The level of sharing rises as sources fill, each time by one sum over all of them, until no
+    more fill; no task holds all sources. Empty input gives no rows.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("rank", F.row_number().over(by_name) - 1)
-    ranked = ranked.withColumn("weight", weight_of_rank.cast("long")).withColumn("cap", F.lit(max_rate) * F.col("source_size"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    # What is left to share and among what weight, if all sources with smaller cap / weight are at their caps.
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight_left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    ranked = ranked.withColumn("left", left).withColumn("weight_left", weight_left)
-    full = F.col("cap") * F.col("weight_left") <= F.col("weight") * F.col("left")
-    # The first source that isn't full sets the level for itself and all after it.
-    ranked = ranked.withColumn("full", full)
-    after = by_cap.rowsBetween(Window.unboundedPreceding, 0)
-    first = lambda c: F.first(F.when(~F.col("full"), F.col(c)), ignorenulls=True).over(after)
-    ranked = ranked.withColumn("level_left", first("left")).withColumn("level_weight", first("weight_left"))
-    target = F.when(F.col("level_left").isNull(), F.col("cap").cast("double")).otherwise(
-        F.col("weight") * F.col("level_left") / F.col("level_weight")
-    )
+    sources = ranked(sizes, [F.col("source").isNull(), F.col("source")])
+    sources = sources.withColumn("weight", weight_of_rank.cast("long")).withColumn("cap", (F.lit(max_rate) * F.col("source_size")).cast("long"))
+    sources = common.materialize(sources, "sources")
+    first = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left, weight_left, filled = first["size"] or 0, first["weight"] or 0, 0
+    while True:
+        full = (F.col("cap").cast("double") * F.lit(float(weight_left)) <= F.col("weight").cast("double") * F.lit(float(left))) if weight_left else F.lit(True)
+        now = sources.where(full).agg(F.count("*").alias("n"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+        if now["n"] == filled:
+            break
+        filled, left, weight_left = now["n"], first["size"] - now["cap"], first["weight"] - now["weight"]
+    target = F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(left).cast("long") / F.lit(weight_left or 1).cast("long"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return ranked.withColumn("target", target).withColumn("rate", rate).select("source", "n_docs", "source_size", "weight", "target", "rate")
+    return sources.withColumn("target", target).withColumn("rate", rate).select("source", "n_docs", "source_size", "weight", "target", "rate")
 
 
 def mix_sources(docs: DataFrame, weight_of_rank: Column, max_rate: int = MAX_RATE, seed: int = SEED) -> DataFrame:
@@ -70,6 +77,16 @@ def emit_mix(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
 
 
+def take_mix(docs: DataFrame, weight_of_rank: Column, max_rate: int = MAX_RATE, seed: int = SEED) -> DataFrame:
+    """The mix itself: a row of ``docs`` for every copy taken, its columns unchanged whatever their names.
+
+    Rows are treated as by ``mix_sources``: null text and sources, repeated rows and an empty table too.
+    """
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    taken = emit_mix(mix_sources(whole, weight_of_rank, max_rate, seed), ["__doc"])
+    return taken.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
+
+
 def cycle_1_2_3(rank: str = "rank") -> Column:
     """Weights 1, 2, 3, repeating, by rank."""
     return F.col(rank) % 3 + 1
