@@ -17,15 +17,13 @@ from pyspark.sql import functions as F
 from . import common
 
 HIDDEN, STEPS = 8, 64
-#: The training sample: rows per language, and segments of each row, evenly spaced over its whole text.
-SAMPLE_ROWS, SAMPLE_SEGMENTS = 600, 6
-#: Languages that are learned, the most frequent ones.
-MAX_LANGUAGES = 64
+#: The training sample: rows per language, fewer where there are so many languages that all would pass the total, and segments of each row, evenly spaced over its
+#: whole text. Every language is learned.
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_SEGMENTS = 600, 24_000, 6
 EPOCH_BATCH, UPDATES, RATE, SEED = 256, 160, 0.02, 5
 #: Segments that run through the network together.
 SEGMENTS = 4096
 UNKNOWN = "und"
-RESULT = "lang_pred string, score double"
 
 
 def _params(rng: np.random.Generator, classes: int) -> dict[str, np.ndarray]:
@@ -171,15 +169,19 @@ def has_letter(text: str | None) -> bool:
 def training_rows(docs: DataFrame, allowed: Column, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, segments, byte masks and class numbers of a bounded sample of labelled rows, about ``rows`` a language.
 
-    Rows are chosen by a hash of their id. The driver gets at most ``SAMPLE_SEGMENTS`` segments of each.
+    Rows are chosen by a hash of their id. The driver gets a row per language and at most ``SAMPLE_SEGMENTS`` segments of
+    each sampled text.
     """
+    spark = docs.sparkSession
     labelled = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], np.empty((0, STEPS), np.uint8), np.empty((0, STEPS), bool), np.empty(0, int)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows / r["count"]))])
-    sample = labelled.where(common.unit_hash(F.lit("lang"), F.col("doc_id")) < share[F.col("lang")]).select("doc_id", "lang", "text")
+    rows = max(1, min(rows, SAMPLE_TOTAL // len(languages)))
+    # A language of few rows gives all of them; the others a little more than asked, so that none comes out empty by chance.
+    share = spark.createDataFrame([(r["lang"], min(1.0, (rows + 3 * rows**0.5 + 3) / r["count"])) for r in counts], "lang string, __share double")
+    sample = labelled.join(F.broadcast(share), "lang").where(common.unit_hash(F.lit("lang"), F.col("doc_id")) < F.col("__share")).select("doc_id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,30 +207,33 @@ def train(docs: DataFrame, allowed: Column | None = None) -> tuple[list[str], di
     return languages, fit(segments, mask, y, len(languages)) if len(y) else None
 
 
-def predict(docs: DataFrame, languages: list[str], network: dict[str, np.ndarray] | None, columns: list[str]) -> DataFrame:
-    """``columns`` of every row with ``lang_pred`` and ``score``, the mean probability of that language over all bytes.
+def predict(docs: DataFrame, languages: list[str], network: dict[str, np.ndarray] | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``columns`` of every row, whatever their names, with the language and its score, the mean probability over all bytes, under ``names``.
 
     Null text, text without a letter and an untrained network give ``und`` and score 0. Only ``text`` is an input.
-    Columns named ``lang_pred`` or ``score`` are replaced; repeated rows are labelled alike; an empty table gives no rows.
+    Columns named like the added ones are replaced; repeated rows are labelled alike; an empty table gives no rows.
     """
-    columns = [c for c in columns if c not in ("lang_pred", "score")]
+    columns = [c for c in columns if c not in names]
+    inner = [f"x{k}" for k in range(len(columns))]
+    chosen = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(columns, inner, strict=True)], *([] if "text" in columns else [F.col("text")]))
+    at = columns.index("text") if "text" in columns else len(columns)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                texts = b.column("__text").to_pylist()
+            for first in range(0, batch.num_rows, 512):
+                b = batch.slice(first, 512)
+                texts = b.column(at).to_pylist()
                 known = [network is not None and has_letter(t) for t in texts]
                 q = _pooled(network, [t.encode() if k else b"" for t, k in zip(texts, known, strict=True)]) if network is not None else np.zeros((len(texts), 1))
                 best = q.argmax(1)
-                names = [languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
+                found = [languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
                 score = np.where(known, np.minimum(q[np.arange(len(q)), best], 1.0), 0.0)
-                arrays = [b.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "score"])
+                arrays = [b.column(k) for k in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.string()), pa.array(score, pa.float64())], [*inner, "found", "likely"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    chosen = docs.select(*columns, F.col("text").alias("__text"))
-    return chosen.mapInArrow(label, f"{fields}, {RESULT}")
+    fields = "".join(f"{x} {docs.schema[c].dataType.simpleString()}, " for c, x in zip(columns, inner, strict=True))
+    out = chosen.mapInArrow(label, f"{fields}found string, likely double")
+    return out.toDF(*columns, *names)
 
 
 def remainder(docs_id: str = "doc_id", modulus: int = 4) -> Column:
