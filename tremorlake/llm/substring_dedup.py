@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from . import common, packed
 
 SENTENCES, WORDS = 2, 20
-#: A sentence ends after stops that a space follows, or at a line's end; what separates it from the next belongs to it.
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[\"')\]]*(?=[\x20\x09-\x0D]|\Z)|(?=\n)|\Z)[\x20\x09-\x0D]*", re.S)
+#: A sentence of so many words is a run by itself where lone sentences count.
+LONE_WORDS = 50
+#: A sentence ends after stops that a space follows, or at a line's end; what separates it from the next belongs to it. Nothing is read twice.
+SENTENCE = re.compile(r"""(?:[^\n.!?]++|[.!?]++["')\]]*+(?![\x20\x09-\x0D]|\Z))*+(?:[.!?]++["')\]]*+)?[\x20\x09-\x0D]*+""")
 #: Runs that a task gathers before it reduces and sends them.
 CHUNK = 400_000
 #: Marks that leave a task in one row.
@@ -44,8 +46,9 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False) -> list[tuple[bytes, int, int]]:
-    """(digest, first, last) of the shortest long enough run from every sentence, and with ``ends`` of the shortest one up to every sentence.
+def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False, lone: int | None = None) -> list[tuple[bytes, int, int]]:
+    """(digest, first, last) of the shortest long enough run from every sentence, with ``ends`` of the shortest one up to every sentence, and with ``lone`` of every
+    sentence of so many words.
 
     Case and kinds of space don't count; blank sentences join the next.
     """
@@ -72,11 +75,15 @@ def runs(parts: list[str], least_sentences: int = SENTENCES, least_words: int =
                 start += 1
             if end - start >= least_sentences and count >= least_words and (start, end) not in known:
                 spans.append((start, end))
+    if lone is not None:
+        known = set(spans)
+        spans += [(k, k + 1) for k, n in enumerate(sizes) if n >= lone and (k, k + 1) not in known]
     return [(xxhash.xxh3_128_digest(b"".join(hashes[i:end]))[:12], real[i], real[end - 1]) for i, end in spans]
 
 
 def _text_key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode())
+    """The JVM's ``xxhash64`` of the text, unsigned."""
+    return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
 def split_firsts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +101,7 @@ def _rows(marks: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": marks["doc"], "key": np.ascontiguousarray(marks["key"]).view(np.int64), "i": marks["i"], "j": marks["j"]}
 
 
-def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False, lone: int | None = None) -> DataFrame:
     """``MARKS``: every non-first occurrence of a repeated run, by document id (null: ``NO_ID``) and hash of its text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"]
     buckets = packed.bucket_count(docs.sparkSession, size)
@@ -116,7 +123,7 @@ def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for k, doc_id in enumerate(ids):
                 text = texts[k].as_py()
-                found = runs(sentences(text), least_sentences, least_words, ends) if text else []
+                found = runs(sentences(text), least_sentences, least_words, ends, lone) if text else []
                 if found:
                     r = np.empty(len(found), RUN)
                     digest = np.frombuffer(b"".join(f[0] for f in found), np.dtype([("h", "<u8"), ("g", "<u4")]))
@@ -138,7 +145,7 @@ def repeated_runs(docs: DataFrame, least_sentences: int = SENTENCES, least_words
     return sent.groupBy("bucket").applyInPandas(compare, MARKS)
 
 
-def remove_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, ends: bool = False, lone: int | None = None) -> DataFrame:
     """``docs`` with repeated sentences removed from ``text``, and ``n_sentences``, ``n_removed``, ``removed``.
 
     With ``ends`` every run of any length counts; without, only the shortest from each sentence, so a repeated passage's last
@@ -146,14 +153,16 @@ def remove_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_word
 
     ``removed`` lists the removed sentences' numbers (from 0). Occurrences order by id (null first), then a hash of the
     text, then place; the first keeps its sentences. Rows with equal id and text are one document: each keeps or loses the
-    same sentences. Null text stays null, with no sentences. Texts shorter than a run stay. Columns named like the added
-    ones are replaced. An empty table gives no rows. Marks are joined to texts by a shuffle on the id.
+    same sentences. Null text stays null, with no sentences. Texts shorter than a run stay. With ``lone``, a sentence of so
+    many words counts as a run. Columns named like the added ones are replaced. An empty table gives no rows. Marks are
+    joined to texts by a shuffle on the id and a hash of the text, so rows without an id don't meet under one key.
     """
     columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
-    marks = repeated_runs(docs, least_sentences, least_words, ends)
-    marks = marks.groupBy("doc", "key").agg(F.collect_set(F.struct("i", "j")).alias("spans"))  # at most two for each of the text's sentences
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("key", "spans")).alias("__marks")).withColumnRenamed("doc", "__doc")
-    with_marks = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(marks, "__doc", "left").select(*columns, "__marks")
+    marks = repeated_runs(docs, least_sentences, least_words, ends, lone)
+    spans = F.collect_set(F.struct("i", "j")).alias("__marks")  # at most three for each of the text's sentences
+    marks = marks.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(spans)
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(F.col("text").cast("string"))})
+    with_marks = keyed.join(marks, ["__doc", "__key"], "left").select(*columns, "__marks")
     at = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +172,8 @@ def remove_repeats(docs: DataFrame, least_sentences: int = SENTENCES, least_word
                 text = text.as_py()
                 parts = sentences(text or "")
                 gone: set[int] = set()
-                for m in marks.as_py() or []:
-                    if text is not None and m["key"] & ((1 << 64) - 1) == _text_key(text):
-                        for s in m["spans"]:
-                            gone.update(range(s["i"], s["j"] + 1))
+                for s in (marks.as_py() or []) if text is not None else []:
+                    gone.update(range(s["i"], s["j"] + 1))
                 texts.append("".join(p for k, p in enumerate(parts) if k not in gone) if gone else text)
                 numbers.append(len(parts))
                 dropped.append(sorted(gone))
