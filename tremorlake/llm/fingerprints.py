@@ -23,8 +23,8 @@ WINDOW = 16
 #: Least, normal and largest chunk in bytes. The least is no shorter than the window, so a chunk depends on its own bytes only.
 LEAST, NORMAL, MOST = 16, 48, 192
 STRICT_BITS, LOOSE_BITS = 7, 4
-#: Bytes of text in one range of ids.
-RANGE_BYTES = 16 << 20
+#: Bytes of text in one range of ids, until there are so many ranges; from then on ranges grow, which their tasks stream through. The driver holds an id a range.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -149,12 +149,13 @@ def edit_likeness(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     table gives no rows.
 
     Ids are dealt into ranges of about ``range_bytes`` of text by approximate quantiles; each range also gets the first
-    document of the next one. Texts are shuffled once. The driver holds one id per range.
+    document of the next one. Texts are shuffled once and sorted within ranges; a range is streamed, never held, also that
+    of the rows without an id. The driver holds one id per range, ``MOST_RANGES`` or a few more at most.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    n = max(size // range_bytes + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(min(size // range_bytes + 1, MOST_RANGES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("q")).first()["q"] or []
     bounds = np.unique(np.array(cuts, dtype=np.int64))
 
