@@ -5,7 +5,7 @@
    order gives right results; a better one gives fewer candidates.
 2. A second pass sends the rarest shingles of every set, those of its prefix, to buckets. Two sets that link share one of
    them. Within a bucket, nodes with a common prefix shingle and no gap in size too wide for a link become candidates.
-   What leaves a bucket is a star for each such run of nodes, never their pairs.
+   What leaves a bucket is a tree for each such run of nodes, never their pairs.
 3. The candidates' components are divided into blocks, and each pair of blocks is decided at once: pairs pass the length,
    prefix, positional and suffix filters, and those left are verified, once each, by their exact overlap. A spanning
    forest of the links leaves the task.
@@ -126,7 +126,7 @@ def candidate_edges(docs: DataFrame, levels, short: int, buckets: int, percent:
 
     Nodes that share a prefix shingle and could link by size form a run. Pairs of runs up to ``short`` nodes are edges if
     their common prefix shingles and the rest of the larger set could make up the overlap; two nodes that meet in a
-    longer run are joined by its star, so for the others this count is whole.
+    longer run are joined by its tree, so for the others this count is whole. No node of a tree has many children.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +163,10 @@ def candidate_edges(docs: DataFrame, levels, short: int, buckets: int, percent:
         run = np.concatenate([[0], np.cumsum(cut)])[: len(r)]
         heads = np.flatnonzero(np.append(True, cut))[: run[-1] + 1 if len(run) else 0]
         length = np.bincount(run) if len(r) else run
-        leader = np.minimum.reduceat(r["node"], heads)[run] if len(r) else r["node"]
-        star = (length[run] > short) & (leader != r["node"])
-        parts = [np.stack([leader[star], r["node"][star], np.zeros(star.sum(), np.int64), np.zeros(star.sum(), np.int64)], 1)]
+        position = np.arange(len(r)) - heads[run] if len(r) else run
+        tree = np.flatnonzero((length[run] > short) & (position > 0))
+        above = r["node"][heads[run[tree]] + components.parents(position[tree])]
+        parts = [np.stack([above, r["node"][tree], np.zeros(len(tree), np.int64), np.zeros(len(tree), np.int64)], 1)]
         for gap in range(1, short):
             at = np.flatnonzero((run[:-gap] == run[gap:]) & (length[run[gap:]] <= short)) if len(r) > gap else np.empty(0, int)
             n1, n2 = r["n"][at].astype(np.int64), r["n"][at + gap].astype(np.int64)
@@ -261,9 +262,10 @@ def forest(i: np.ndarray, j: np.ndarray, count: int) -> np.ndarray:
 
 def verified_edges(docs: DataFrame, clusters: DataFrame, levels, percent: int = PERCENT) -> DataFrame:
     """Edges ``a, b`` that span the links among nodes of equal ``cluster``; ``clusters``: ``doc_id, node, cluster, n``, one document a node."""
+    clusters = common.materialize(clusters.withColumn("cluster", F.col("cluster").cast("string")), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     blocks = F.ceil(F.greatest(F.col("k") / BLOCK_NODES, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    placed = clusters.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
+    placed = common.join_back(clusters, common.materialize(sizes.select("cluster", "k", blocks.alias("blocks")), "sizes"), "cluster", "k", F.col("node"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
     placed = common.materialize(placed.withColumn("own", own).select("doc_id", "node", "cluster", "blocks", "own"), "blocks")
@@ -278,8 +280,10 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, levels, percent: int =
         texts = [t.encode() for t in rows["text"]]
         i, j = linked_pairs(texts, (rows["own"] != key[1]).to_numpy(), levels.value, percent)
         root = forest(i, j, len(nodes))
-        linked = np.flatnonzero(root != np.arange(len(nodes)))
-        return pd.DataFrame({"a": nodes[root[linked]], "b": nodes[linked]})
+        order = np.argsort(root, kind="stable")
+        heads = np.searchsorted(root[order], root[order])
+        position = np.arange(len(order)) - heads
+        return pd.DataFrame({"a": nodes[order[heads + components.parents(position)]], "b": nodes[order]}).loc[position > 0]
 
     return joined.groupBy("cluster", "x", "y").applyInPandas(decide, "a long, b long")
 
@@ -305,9 +309,11 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = common.materialize(nodes, "nodes")
     clusters = nodes.where("doc_id is not null").join(candidates.select("node", F.col("root").alias("cluster")), "node")
     roots = components.components(verified_edges(docs, clusters.select("doc_id", "node", "cluster", "n"), levels, percent))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").where("copies > 1 or component_id != doc_id")  # the others are their own component
+    named = common.materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node").cast("string")), "named")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    least = common.materialize(least.where("members > 1"), "least")  # a node alone is its own component
+    named = common.join_back(named, least, "root", "members", F.col("node")).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = named.where("copies > 1 or component_id != doc_id")
     named = common.materialize(named.select(F.col("node").cast("string").alias("key"), "component_id", "copies"), "components")
     out = common.join_back(rows.withColumn("key", F.coalesce(F.col("node").cast("string"), F.concat(F.lit("empty"), F.pmod("doc_id", F.lit(997))))), named, "key", "copies", F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
