@@ -57,6 +57,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _slice_out(counts: np.ndarray) -> bytes:
+    """A slice of counters: which ones are used, a bit each, and those."""
+    used = counts > 0
+    return zlib.compress(np.packbits(used).tobytes() + counts[used].tobytes(), 1)
+
+
+def _slice_in(data: bytes) -> np.ndarray:
+    data = np.frombuffer(zlib.decompress(data), np.uint8)
+    counts = np.zeros(1 << SLICE_BITS, np.uint8)
+    counts[np.unpackbits(data[: len(counts) // 8]).astype(bool)] = data[len(counts) // 8 :]
+    return counts
+
+
 def describe(docs: DataFrame, bits: int) -> DataFrame:
     """Rows ``doc_id, n, node`` of every document (node null for an empty set), and rows ``slice, data`` of the sketch's parts."""
     names = ["doc_id", "n", "node", "slice", "data"]
@@ -86,7 +99,7 @@ def describe(docs: DataFrame, bits: int) -> DataFrame:
         for k in range(1 << (bits - SLICE_BITS)):
             part = counts[k << SLICE_BITS : (k + 1) << SLICE_BITS]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types[:3]] + [pa.array([k], types[3]), pa.array([zlib.compress(part.tobytes(), 1)], types[4])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types[:3]] + [pa.array([k], types[3]), pa.array([_slice_out(part)], types[4])], names)
 
     return docs.mapInArrow(run, "doc_id long, n int, node long, slice int, data binary")
 
@@ -100,7 +113,7 @@ def levels_of(parts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << SLICE_BITS, np.uint32)
         for data in rows["data"]:
-            total += np.frombuffer(zlib.decompress(data), np.uint8)
+            total += _slice_in(data)
         mean = total.mean()
         above = np.maximum(0, total - mean - 3 * np.sqrt(mean)).astype(np.int64)
         level = np.where(above > 0, np.floor(np.log2(np.maximum(above, 1))) + 1, 0).astype(np.uint8)
