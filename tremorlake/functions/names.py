@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterable, Mapping
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HANDS = ("left", "right", "both")
@@ -27,6 +27,15 @@ def first_date(*texts: Column) -> Column:
     return F.coalesce(*[_blank_null(F.regexp_extract(F.coalesce(t, F.lit("")), DATE, 0)) for t in texts], F.lit(""))
 
 
+def common_prefix(paths: DataFrame, path: str = "path") -> DataFrame:
+    """One row with ``prefix``: the longest folder that all paths lie in, with its slash; empty without one. It is that of the least and the greatest path."""
+    ends = paths.agg(F.min(path).alias("a"), F.max(path).alias("b")).select(F.split("a", "/").alias("a"), F.split("b", "/").alias("b"))
+    folders = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("a"), F.size("b")) - 1))
+    same = F.filter(folders, lambda k: (F.slice("a", F.lit(1), k) == F.slice("b", F.lit(1), k)) & (k < F.size("a")) & (k < F.size("b")))
+    depth = F.coalesce(F.array_max(same), F.lit(0))
+    return ends.select(F.when(depth > 0, F.concat(F.array_join(F.slice("a", F.lit(1), depth), "/"), F.lit("/"))).otherwise("").alias("prefix"))
+
+
 def normalise_subject(s: Column) -> Column:
     """Lower-case letters and digits of a subject's id; null gives an empty text."""
     return F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]", "")

@@ -128,13 +128,6 @@ def natural_order(label: Column) -> list[Column]:
 # Data behind the views.
 
 
-def recording_list(clips: DataFrame, recordings: DataFrame, annotations: DataFrame) -> DataFrame:
-    """A row per recording: names, clips, clips to review, labelled and invalid ones, whether all are decided."""
-    counts = labels.review_counts(clips.join(recordings.select("source_file", "source_path"), "source_file", "left"))
-    out = labels.progress(counts, annotations)
-    return out.withColumn("done", F.col("rec_invalid") | (F.col("n_labeled") + F.col("n_invalid") >= F.col("n_clips")))
-
-
 def filter_recordings(rows: DataFrame, kind: str = "all", text: str = "") -> DataFrame:
     """``all``, ``todo``, ``review`` or ``done`` recordings whose file or subject contains a text; those to review come first."""
     kinds = {"all": F.lit(True), "todo": ~F.col("done"), "done": F.col("done"), "review": F.col("n_review") > 0}

@@ -81,7 +81,7 @@ def folder_rollup(recordings: DataFrame, folder: Column) -> DataFrame:
     """Sums of recordings by folder; done when every recording is invalid or has all clips decided."""
     done = F.col("rec_invalid") | (F.col("n_labeled") + F.col("n_invalid") >= F.col("n_clips"))
     return recordings.groupBy(folder.alias("folder")).agg(
-        F.count("*").alias("n_recordings"), F.sum("n_labeled").alias("n_labeled"), F.sum("n_review").alias("n_review"), F.bool_and(done).alias("all_done")
+        F.count("*").alias("n_recordings"), F.sum("n_labeled").alias("n_labeled"), F.sum("n_invalid").alias("n_invalid"), F.sum("n_review").alias("n_review"), F.bool_and(done).alias("all_done")
     )
 
 
@@ -109,6 +109,12 @@ def annotation_changes(rows: DataFrame) -> DataFrame:
     return rows.select(*rest, F.lit("clip").alias("scope"), F.inline(changes))
 
 
+def recording_changes(rows: DataFrame) -> DataFrame:
+    """Log rows of decisions ``source_file, invalid`` about whole recordings: setting or taking back the soft exclusion."""
+    rest = [c for c in rows.columns if c != "invalid"]
+    return rows.select(*rest, F.lit(-1).cast("long").alias("clip_id"), F.lit("recording").alias("scope"), F.lit("invalid").alias("kind"), F.lit("1").alias("value"), (~F.col("invalid")).alias("deleted"))
+
+
 def drop_recording(tables: dict[str, DataFrame], tombstones: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
     """All tables without the rows of ``gone`` (``source_file, dropped_at, note``), which join the tombstones."""
     out = {n: df.join(gone.select("source_file"), "source_file", "left_anti") if n in RECORDING_TABLES else df for n, df in tables.items()}
@@ -142,6 +148,13 @@ def drop_runs(df: DataFrame, gone: DataFrame) -> DataFrame:
     return df.join(gone.select("run_id"), "run_id", "left_anti")
 
 
+def recording_list(clips: DataFrame, recordings: DataFrame, annotations: DataFrame) -> DataFrame:
+    """A row per recording: names, clips, clips to review, labelled and invalid ones, whether all are decided."""
+    counts = review_counts(clips.join(recordings.select("source_file", "source_path"), "source_file", "left"))
+    out = progress(counts, annotations)
+    return out.withColumn("done", F.col("rec_invalid") | (F.col("n_labeled") + F.col("n_invalid") >= F.col("n_clips")))
+
+
 def run_table(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Runs with their parameters and scores side by side, by time."""
     p = lambda path: F.get_json_object("params_json", f"$.{path}")

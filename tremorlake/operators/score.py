@@ -29,6 +29,15 @@ def standardised(features: DataFrame, by: list[str] | None = None, centre_only:
     return features.withColumn("z", F.col("x") - mean if centre_only else zscore(F.col("x"), mean, F.stddev_pop("x").over(w)))
 
 
+def subject_normalised(features: DataFrame, how: str = "zscore", subject: str = "subject") -> DataFrame:
+    """``z`` of every value by ``how``: ``none`` as it is, ``center`` less its subject's mean, ``zscore`` by its subject's mean and deviation."""
+    if how == "none":
+        return features.withColumn("z", F.col("x"))
+    if how not in ("center", "zscore"):
+        raise ValueError(f"unknown normalisation {how!r}")
+    return standardised(features, [subject], how == "center")
+
+
 def centroids(features: DataFrame, assignment: DataFrame, value: str = "x") -> DataFrame:
     return features.join(assignment, "key").groupBy("cluster", "dim").agg(F.avg(value).alias("centre"), F.count("*").alias("n"))
 
@@ -208,13 +217,6 @@ def global_ids(local: DataFrame, group: str = "grp", cluster: str = "local_id")
     return local.join(ids, [group, cluster])
 
 
-def position_errors(frames: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Distances between corresponding landmarks: mean, median, population deviation and maximum."""
-    distance = F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    d = frames.select(distance.alias("d"))
-    return d.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.stddev_pop("d").alias("std"), F.max("d").alias("max"))
-
-
-def angle_errors(frames: DataFrame, a: str, b: str) -> DataFrame:
-    d = frames.select(F.degrees(F.abs(F.col(a) - F.col(b))).alias("d"))
-    return d.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.stddev_pop("d").alias("std"), F.max("d").alias("max"))
+def silhouette_means(rows: DataFrame, value: str = "silhouette", cluster: str = "cluster") -> DataFrame:
+    """Mean silhouette and number of rows of every cluster."""
+    return rows.groupBy(cluster).agg(F.avg(value).alias("mean_silhouette"), F.count("*").alias("n"))

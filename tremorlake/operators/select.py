@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import names
 from tremorlake.functions.scalars import all_finite
+from tremorlake.operators import labels
 
 
 @dataclass(frozen=True)
@@ -87,11 +88,26 @@ def finite_rows(df: DataFrame, values: str) -> DataFrame:
     return df.where(all_finite(F.col(values)))
 
 
+def quality_passed(recordings: DataFrame, max_missing: float = 0.01) -> DataFrame:
+    """Recordings whose lag is as it should be and that miss less than a share of their pose."""
+    return recordings.where((F.col("lag_flag") == "ok") & (F.col("pose_nan_frac") < max_missing))
+
+
 def first_per(df: DataFrame, group: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
+def palette_or_top(chosen: list[str] | dict | None, annotations: DataFrame, most: int = 20) -> DataFrame:
+    """``label, position`` of a chosen palette (a list, or a mapping with the list under ``labels``); without one, the labels given most often."""
+    names = chosen.get("labels", []) if isinstance(chosen, dict) else list(chosen or [])
+    if names:
+        return palette(annotations.sparkSession.createDataFrame([(str(n), k) for k, n in enumerate(names)], "label string, position long"), most)
+    top = labels.top_labels(annotations, most)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1  # over at most ``most`` rows
+    return top.select(F.col("value").alias("label"), place.cast("long").alias("position"))
+
+
 def palette(labels: DataFrame, most: int = 20, label: str = "label", position: str = "position") -> DataFrame:
     """Trimmed labels without blanks and repeats in the order of their first place, at most ``most``."""
     cleaned = labels.select(F.trim(label).alias("label"), F.col(position).alias("position")).where("label <> ''")

@@ -258,7 +258,7 @@ def review_counts(t):
     return reviewed(t)
 
 
-@query(f"""WITH {_REVIEW} SELECT regexp_replace(source_path, '/[^/]*$', '') AS folder, count(*) AS n_recordings, sum(n_review)::BIGINT AS n_labeled, sum(n_review)::BIGINT AS n_review, bool_and(n_review >= n_clips) AS all_done FROM rv GROUP BY 1""")
+@query(f"""WITH {_REVIEW} SELECT regexp_replace(source_path, '/[^/]*$', '') AS folder, count(*) AS n_recordings, sum(n_review)::BIGINT AS n_labeled, 0::BIGINT AS n_invalid, sum(n_review)::BIGINT AS n_review, bool_and(n_review >= n_clips) AS all_done FROM rv GROUP BY 1""")
 def folder_rollup(t):
     rows = reviewed(t).withColumn("n_labeled", F.col("n_review")).withColumn("n_invalid", F.lit(0)).withColumn("rec_invalid", F.lit(False))
     return labels.folder_rollup(rows, names.folder_of(F.col("source_path")))

@@ -52,5 +52,29 @@ def shards(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame
 
 
 def cached_features(requested: DataFrame, cache: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Requested rows that the cache holds, and those still to be made."""
-    return requested.join(cache, key), requested.join(cache, key, "left_anti")
+    """Requested rows of the recordings that the cache holds whole, and those of all others, which are still to be made.
+
+    ``key`` begins with the recording's columns and ends with the clip's; a recording of which one clip is missing is no hit.
+    """
+    recording = key[:-1]
+    missing = requested.join(cache, key, "left_anti").select(*recording).distinct()
+    return requested.join(missing, recording, "left_anti").join(cache, key), requested.join(missing, recording, "left_semi")
+
+
+def without_listed(catalog: DataFrame, listed: DataFrame | None, key: str = "source_file") -> DataFrame:
+    """The catalogue without the recordings of an older list of invalid ones; without a list (null) all stay."""
+    return catalog if listed is None else catalog.join(listed.select(key), key, "left_anti")
+
+
+def walked(paths: DataFrame) -> DataFrame:
+    """``path, camp, person, session, batch`` of archives under ``C<n>/person/session/``, to be sorted by ``camp``, a number; without a batch in the session's name it is 1."""
+    parts = F.regexp_extract("path", r"(?:^|/)C(\d+)/([^/]+)/([^/]+)/(?:.*/)?[^/]+\.npz$", 0)
+    part = lambda k: F.regexp_extract("path", r"(?:^|/)C(\d+)/([^/]+)/([^/]+)/(?:.*/)?[^/]+\.npz$", k)
+    batch = F.coalesce(F.nullif(F.regexp_extract(part(3), r"-(\d+)$", 1), F.lit("")).cast("long"), F.lit(1))
+    out = paths.where(parts != "").select("path", part(1).cast("long").alias("camp"), part(2).alias("person"), part(3).alias("session"), batch.cast("long").alias("batch"))
+    return out.orderBy("camp", "person", "session", "path")
+
+
+def clip_metadata(exported: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of exported clips as texts, ``?`` where one is missing or null."""
+    return exported.select("name", *[(F.coalesce(F.col(c).cast("string"), F.lit("?")) if c in exported.columns else F.lit("?")).alias(c) for c in columns])

@@ -8,6 +8,7 @@ that only Spark reads come in through ``spark.read.format("binaryFile")`` and ``
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 from glob import glob
 from pathlib import Path
@@ -24,6 +25,14 @@ DEFAULT_RATE = 2000.0
 NAMES = ["path", "hand", "chunk_idx", "start_sample", "emg", "pose", "error"]
 
 
+def hand_in(path: str) -> str | None:
+    """The hand that the file's name or its folder names, the file's first."""
+    for part in reversed(path.lower().split("/")[-2:]):
+        if found := re.search(r"(?<![a-z])(left|right)(?![a-z])", part):
+            return found[1]
+    return None
+
+
 def pose_key(keys, hand: str | None) -> str | None:
     """The hand's joint angles, else the first by name."""
     wanted = f"manus_{hand}_ergonomics"
@@ -126,6 +135,7 @@ def _batches(path: str, data, hand: str | None, chunk: int, prefer_length: bool)
         inner = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).reshape(-1), pa.float32()))
         return pa.ListArray.from_arrays([0, len(x)], inner)
 
+    hand = hand or hand_in(path)
     try:
         with np.load(data, allow_pickle=False) as archive:
             emg, pose = read_recording(dict(archive), hand, prefer_length)
