@@ -345,4 +345,5 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     side = lambda df: F.broadcast(df) if few else df
     once = docs.join(side(ids.select("doc_id")), "doc_id", "left_anti")
     again = docs.join(side(ids.where("stays").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).unionByName(again.select(*columns))
