@@ -94,6 +94,40 @@ def test_schema_tables(spark):
         assert spark.createDataFrame([], columns).count() == 0
 
 
+def test_runs_are_saved_and_replaced(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([("f.npz", i, i % 2) for i in range(n)], "source_file string, clip_id long, cluster_id long")
+    for run, channel, k, n in (("r1", "emg", 2, 4), ("r2", "emg", 2, 3), ("r1", "pose", 5, 2)):
+        sinks.save_run(run, channel, {"k": k}, rows(n), str(tmp_path), "2026-01-01")
+    got = spark.read.parquet(f"{tmp_path}/cluster_assignments").groupBy("run_id").count().collect()
+    assert sorted((r["run_id"], r["count"]) for r in got) == [("r1", 2), ("r2", 3)]
+    runs = spark.read.parquet(f"{tmp_path}/cluster_runs").collect()
+    assert sorted((r["run_id"], r["channel"], r["params_json"]) for r in runs) == [("r1", "pose", '{"k": 5}'), ("r2", "emg", '{"k": 2}')]
+
+
+def test_labels_are_written_merged_and_by_folder(spark, tmp_path):
+    rows = [("/d/a b/x.npz", 1, "fist"), ("/d/a-b/y.npz", 2, "wave"), ("/d/A-b/z.npz", 3, "fist, wave"), (None, 4, "none")]
+    df = spark.createDataFrame(rows, "source_path string, clip_id long, gesture_label string")
+    for _ in range(2):
+        sinks.write_label_export(df, str(tmp_path))
+    read = lambda part: spark.read.option("header", True).csv(f"{tmp_path}/{part}")
+    assert sorted((r["source_path"] or "", r["clip_id"], r["gesture_label"]) for r in read("merged").collect()) == sorted((p or "", str(i), g) for p, i, g in rows)
+    named = {r["clip_id"]: r["folder_name"] for r in read("by_folder").collect()}
+    want = {str(r["clip_id"]): r["folder_name"] or None for r in sinks.label_export(df).collect()}
+    assert named == want and len(set(named.values())) == 4
+
+
+def test_tables_are_created_once(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE made LOCATION '{tmp_path}/made'")
+    try:
+        for _ in range(2):
+            schema.create_tables(spark, "made")
+        assert {t.name for t in spark.catalog.listTables("made")} == set(schema.TABLES)
+        for name, columns in schema.TABLES.items():
+            assert set(spark.table(f"made.{name}").dtypes) == set(spark.createDataFrame([], columns).dtypes)
+    finally:
+        spark.sql("DROP DATABASE made CASCADE")
+
+
 def test_streaming_latch_equals_batch(spark, tmp_path):
     rows = [(0, i, float(v)) for i, v in enumerate([0, 0, 5, 5, 0, 5, 5, 0, 0])]
     source = tmp_path / "in"

@@ -75,8 +75,15 @@ def write_labelled(clips: DataFrame, path: str, force: bool = False) -> None:
 
 
 def label_export(rows: DataFrame, path: str = "source_path") -> DataFrame:
-    """Rows with ``folder_name``: a safe name of their folder; folders whose safe names are equal get ``_1``, ``_2`` after it."""
-    folders = rows.select(names.folder_of(F.col(path)).alias("__folder"), names.folder_key(F.col(path)).alias("__name")).distinct()
+    """Rows with ``folder_name``: a safe name of their folder; folders whose safe names are equal get ``_1``, ``_2`` after it. A null path lies in no folder."""
+    placed = rows.withColumn("__folder", F.coalesce(names.folder_of(F.col(path)), F.lit("")))
+    folders = placed.select("__folder", F.coalesce(names.folder_key(F.col(path)), F.lit("")).alias("__name")).distinct()
     again = F.row_number().over(Window.partitionBy("__name").orderBy("__folder")) - 1
     named = folders.withColumn("folder_name", F.when(again > 0, F.concat_ws("_", "__name", again.cast("string"))).otherwise(F.col("__name")))
-    return rows.withColumn("__folder", names.folder_of(F.col(path))).join(named.select("__folder", "folder_name"), "__folder").drop("__folder")
+    return placed.join(named.select("__folder", "folder_name"), "__folder").drop("__folder")
+
+
+def write_label_export(rows: DataFrame, root: str, path: str = "source_path") -> None:
+    """The labels as CSV: ``merged`` holds all of them, ``by_folder`` those of each folder under its safe name."""
+    write_csv(rows, f"{root}/merged")
+    label_export(rows, path).write.mode("overwrite").option("header", True).partitionBy("folder_name").csv(f"{root}/by_folder")
