@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,36 @@ def test_streaming_latch_equals_batch(spark, tmp_path):
     query = latch.stream_latch(stream, 3, 1).writeStream.format("memory").queryName("latched").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r["s"], r["e"]) for r in spark.table("latched").collect()) == [(2, 4), (5, 7)]
+
+
+def test_latch_state_carries_over_batches():
+    class Samples:
+        def groupBy(self, _):
+            return self
+
+        def applyInPandasWithState(self, run, *_):
+            return run
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, _):
+            pass
+
+    v = np.random.default_rng(6).choice([0, 1, 2, 3, 5, np.nan], 300)
+    run, state, got = latch.stream_latch(Samples(), 3, 1), State(), []
+    parts = [pd.DataFrame({"rec": 7, "i": np.arange(a, min(a + 7, 300)), "v": v[a : a + 7]}).sample(frac=1, random_state=1) for a in range(0, 300, 7)]
+    for k in range(0, len(parts), 3):
+        for out in run((7,), iter([*parts[k : k + 3], parts[0][:0]]), state):
+            got += [tuple(r) for r in out.itertuples(index=False)]
+    want, start = [], -1
+    for i, x in enumerate(v):
+        if start < 0 and x >= 3:
+            start = i
+        elif start >= 0 and x < 1:
+            want.append((7, start, i))
+            start = -1
+    assert got == want and len(want) > 20 and state.get == (start, 299)

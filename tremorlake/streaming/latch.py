@@ -1,13 +1,14 @@
 """The two-threshold latch over a stream of samples: segments come out as they close.
 
 State is one row a recording, so it grows with open recordings and not with samples. Samples of a recording must come in
-order; a recording silent for longer than the timeout closes its open segment and gives its state back.
+order, and a missing value changes nothing; a recording silent for longer than the timeout closes its open segment and gives its state back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,17 +26,22 @@ def stream_latch(samples: DataFrame, enter: float, leave: float, timeout_ms: int
             state.remove()
             yield pd.DataFrame({"rec": [key[0]], "s": [start], "e": [last + 1]} if start >= 0 else {"rec": [], "s": [], "e": []})
             return
-        rows = []
+        closed = [np.empty((2, 0), np.int64)]
         for b in batches:
-            for i, v in b.sort_values("i")[["i", "v"]].itertuples(index=False):
-                if start < 0 and v >= enter:
-                    start = i
-                elif start >= 0 and v < leave:
-                    rows.append((key[0], start, i))
-                    start = -1
-                last = i
+            b = b.sort_values("i")
+            i, v = b["i"].to_numpy(), b["v"].to_numpy(float)
+            if not len(i):
+                continue
+            decides = np.where(v >= enter, 1, np.where(v < leave, 0, -1))
+            decided = np.maximum.accumulate(np.where(decides >= 0, np.arange(len(v)), -1))
+            on = np.where(decided >= 0, decides[decided] == 1, start >= 0)
+            turns = np.diff(np.append(start >= 0, on).astype(np.int8))
+            begins, ends = np.append(start, i[turns == 1])[0 if start >= 0 else 1 :], i[turns == -1]
+            closed.append(np.stack([begins[: len(ends)], ends]))
+            start, last = begins[-1] if len(begins) > len(ends) else -1, i[-1]
         state.update((int(start), int(last)))
         state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(rows, columns=["rec", "s", "e"])
+        s, e = np.concatenate(closed, 1)
+        yield pd.DataFrame({"rec": key[0], "s": s, "e": e})
 
     return samples.groupBy("rec").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
