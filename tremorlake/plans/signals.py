@@ -243,19 +243,25 @@ def hold_windows(t):
     return intervals.hold_windows(bursts(t), lengths(t), TAIL)
 
 
-_MACHINE = f"""WITH RECURSIVE {SIG}, n AS (SELECT rec, count(*) AS n FROM sig GROUP BY rec),
-m AS (
-  SELECT rec, -1::BIGINT AS t, -1::BIGINT AS up, 0::BIGINT AS quiet, 0::DOUBLE AS peak, NULL::BIGINT AS s, NULL::BIGINT AS e FROM n
+
+
+def _machine(source: str, min_static: int, min_motion: int) -> str:
+    """The motion machine over ``source`` (``rec, i, v, enter, leave``), a sample a step: its runs are ``run``."""
+    return f"""m AS (
+  SELECT rec, -1::BIGINT AS t, -1::BIGINT AS up, 0::BIGINT AS quiet, 0::DOUBLE AS peak, NULL::BIGINT AS s, NULL::BIGINT AS e FROM {source} GROUP BY rec
   UNION ALL
   SELECT rec, t, CASE WHEN begins THEN t WHEN ends THEN -1 ELSE up END, CASE WHEN ends THEN 0 ELSE quiet END, peak, CASE WHEN ends THEN up END, CASE WHEN ends THEN t - quiet + 1 END
   FROM (
-    SELECT *, up >= 0 AND quiet >= 2 AS ends FROM (
-      SELECT rec, t, up, begins, peak, CASE WHEN up >= 0 AND v <= least(0.9 * {ENTER}, greatest({LEAVE}, 0.25 * peak)) THEN quiet + 1 ELSE 0 END AS quiet FROM (
-        SELECT m.rec, x.i AS t, m.up, m.quiet, x.v, m.up < 0 AND x.v >= {ENTER} AS begins,
-          CASE WHEN m.up < 0 AND x.v >= {ENTER} THEN x.v WHEN m.up >= 0 AND x.v > m.peak THEN x.v ELSE m.peak END AS peak
-        FROM m JOIN sig x ON x.rec = m.rec AND x.i = m.t + 1))))
-SELECT rec, s, e FROM m WHERE s IS NOT NULL AND e - s >= 2
-UNION ALL SELECT m.rec, m.up, n.n FROM m JOIN n USING (rec) WHERE m.t = n.n - 1 AND m.up >= 0 AND n.n - m.up >= 2"""
+    SELECT *, up >= 0 AND quiet >= {min_static} AS ends FROM (
+      SELECT rec, t, up, begins, peak, CASE WHEN up >= 0 AND v <= least(0.9 * enter, greatest(leave, 0.25 * peak)) THEN quiet + 1 ELSE 0 END AS quiet FROM (
+        SELECT m.rec, x.i AS t, m.up, m.quiet, x.v, x.enter, x.leave, m.up < 0 AND x.v >= x.enter AS begins,
+          CASE WHEN m.up < 0 AND x.v >= x.enter THEN x.v WHEN m.up >= 0 AND x.v > m.peak THEN x.v ELSE m.peak END AS peak
+        FROM m JOIN {source} x ON x.rec = m.rec AND x.i = m.t + 1)))),
+run AS (SELECT rec, s, e FROM m WHERE s IS NOT NULL AND e - s >= {min_motion}
+  UNION ALL SELECT rec, up, t + 1 FROM (SELECT *, max(t) OVER (PARTITION BY rec) AS last FROM m) WHERE t = last AND up >= 0 AND t + 1 - up >= {min_motion})"""
+
+
+_MACHINE = f"""WITH RECURSIVE {SIG}, lim AS (SELECT rec, i, v, {ENTER}::DOUBLE AS enter, {LEAVE}::DOUBLE AS leave FROM sig), {_machine("lim", 2, 2)} SELECT * FROM run"""
 
 
 @query(_MACHINE)
@@ -394,25 +400,84 @@ def motion_end(t):
     return intervals.motion_end(actions, parts(t).where("kind = 'motion'"), 2)
 
 
-@query()
+def _peaks(distance: int) -> str:
+    """Peaks ``peak`` and the valleys ``valley`` between them in ``src`` (``rec, part, i, x`` without nulls, ``h`` least height, ``pr`` least prominence)."""
+    return f"""flat AS (SELECT rec, part, min(i) AS a, max(i) AS b, any_value(x) AS x, any_value(h) AS h, any_value(pr) AS pr FROM (
+  SELECT *, sum(turn) OVER (PARTITION BY rec, part ORDER BY i) AS g FROM (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY rec, part ORDER BY i) THEN 0 ELSE 1 END AS turn FROM src)) GROUP BY rec, part, g),
+top AS (SELECT rec, part, (a + b) // 2 AS p, x, pr FROM (SELECT *, lag(x) OVER o AS x0, lead(x) OVER o AS x2 FROM flat WINDOW o AS (PARTITION BY rec, part ORDER BY a)) WHERE x > x0 AND x > x2 AND x >= h),
+thin AS (
+  SELECT rec, part, NULL::BIGINT AS p, list(p ORDER BY x DESC, p DESC) AS others FROM top GROUP BY rec, part
+  UNION ALL SELECT rec, part, others[1], list_filter(others[2:], lambda q: abs(q - others[1]) >= {distance}) FROM thin WHERE len(others) > 0),
+side AS (SELECT t.rec, t.part, t.p, any_value(t.x) AS height, any_value(t.pr) AS least, coalesce(max(y.i) FILTER (WHERE y.i < t.p AND y.x > t.x), -1) AS l,
+    coalesce(min(y.i) FILTER (WHERE y.i > t.p AND y.x > t.x), 9223372036854775807) AS r
+  FROM thin k JOIN top t ON t.rec = k.rec AND t.part = k.part AND t.p = k.p JOIN src y ON y.rec = t.rec AND y.part = t.part GROUP BY 1, 2, 3),
+peak AS (SELECT s.rec, s.part, s.p FROM side s JOIN src y ON y.rec = s.rec AND y.part = s.part GROUP BY 1, 2, 3
+  HAVING any_value(height) - greatest(min(y.x) FILTER (WHERE y.i > l AND y.i <= p), min(y.x) FILTER (WHERE y.i >= p AND y.i < r)) >= any_value(least)),
+valley AS (SELECT k.rec, k.part, k.p, k.q, first(y.i ORDER BY y.x, y.i) AS cut FROM (SELECT *, lead(p) OVER (PARTITION BY rec, part ORDER BY p) AS q FROM peak) k
+  JOIN src y ON y.rec = k.rec AND y.part = k.part AND y.i BETWEEN k.p AND k.q GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH RECURSIVE {SIG}, src AS (SELECT rec, 0 AS part, i, coalesce(v, 0) AS x, 100::DOUBLE AS h, 50::DOUBLE AS pr FROM sig), {_peaks(3)} SELECT rec, cut FROM valley")
 def valley_split(t):
     return detect.valley_split(sig(t), 100.0, 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIG}, md AS (SELECT rec, median(coalesce(v, 0)) AS med FROM sig GROUP BY rec),
+dev AS (SELECT rec, median(abs(coalesce(v, 0) - med)) AS mad FROM sig JOIN md USING (rec) GROUP BY rec),
+src AS (SELECT rec, 0 AS part, i, coalesce(v, 0) AS x, 100::DOUBLE AS h, greatest(0.5 * 1.4826 * mad, 1e-9) AS pr FROM sig JOIN dev USING (rec)), {_peaks(2)},
+high AS ({_islands("src", "x > 50")}), near AS ({_merged("high", "gap > 1")}),
+own AS (SELECT n.rec, n.s, n.e, p, lag(p) OVER w AS p0, lead(p) OVER w AS p2 FROM near n JOIN peak k ON k.rec = n.rec AND p >= s AND p < e WINDOW w AS (PARTITION BY n.rec, n.s ORDER BY p)),
+cut AS (SELECT o.rec, coalesce(a.cut, s) AS s, coalesce(b.cut, e) AS e, o.p AS apex FROM own o
+  LEFT JOIN valley a ON a.rec = o.rec AND a.p = p0 AND a.q = o.p LEFT JOIN valley b ON b.rec = o.rec AND b.p = o.p AND b.q = p2)
+SELECT rec, s, e, apex FROM cut WHERE e - s >= 2""")
 def peak_segments(t):
     return detect.peak_segments(sig(t), 100.0, 0.5, 0.5, 2, 1)
 
 
 DETECTOR = detect.Settings(fs=10, smooth_ms=300, pose_smooth_ms=300, pose_min_range=1.0, min_action_s=0.2, pose_long_seg_s=1.0)
-
-
-@query()
+_MOVING = "GROUP BY ALL HAVING max(x.k) - min(x.k) >= 1.0"
+#: The detector with ``DETECTOR``: 3 samples to smooth, 2 for a burst, a rest, a motion, a snap and between peaks, 4 to settle, over 10 for a long run.
+_ACTIONS = f"""WITH RECURSIVE {SIG}, awake AS (SELECT rec, count(*) AS n, median(k) AS mid FROM sig x GROUP BY rec HAVING max(k) - min(k) >= 1.0),
+jump AS (SELECT rec, i, abs(k - lag(k) OVER (PARTITION BY rec ORDER BY i)) * 10 AS step FROM sig),
+jumps AS (SELECT rec, i, coalesce(step, lead(step) OVER (PARTITION BY rec ORDER BY i), 0) AS raw FROM jump),
+spd AS (SELECT rec, i, v FROM ({_box("jumps", "raw", 3, "v")})),
+mids AS (SELECT rec, median(v) AS mv, median(k) AS mk FROM sig GROUP BY rec),
+away AS (SELECT rec, i, sqrt(((v - mv) ** 2 + (k - mk) ** 2) / 2) AS raw FROM sig JOIN mids USING (rec)),
+env AS (SELECT rec, i, v FROM ({_box("away", "raw", 3, "v")})),
+{_BIMODAL.replace(SIG + ", ", "").replace("FROM sig", "FROM env")},
+lv AS (SELECT rec, CASE WHEN en <= ex AND sigma > 0 THEN med + 1.2 * sigma ELSE en END AS up, CASE WHEN en <= ex AND sigma > 0 THEN med + 0.5 * sigma ELSE ex END AS down FROM e),
+latched AS (SELECT rec, i, coalesce(last_value(CASE WHEN v >= up THEN 1 WHEN v < down THEN 0 END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS up
+  FROM env JOIN lv USING (rec) WHERE up > down),
+raw AS ({_islands("latched", "up = 1")}), merged AS ({_merged("raw", "gap >= 2")}), burst AS (SELECT * FROM merged WHERE e - s >= 2),
+sm AS (SELECT rec, median(v) AS med, quantile_cont(v, 0.35) AS low FROM spd GROUP BY rec),
+lvl AS (SELECT rec, greatest(any_value(low), any_value(med) + 1.5 * 1.4826 * median(abs(v - med))) AS level FROM spd JOIN sm USING (rec) GROUP BY rec),
+go AS (SELECT rec, i, v, CASE WHEN level > 0 THEN level ELSE radians(60) END AS enter, CASE WHEN level > 0 THEN 0.5 * level ELSE radians(25) END AS leave FROM spd JOIN lvl USING (rec) JOIN awake USING (rec)),
+{_machine("go", 4, 2)},
+begun AS (SELECT r.rec, r.s, r.e FROM run r JOIN sig x ON x.rec = r.rec AND x.i >= r.s AND x.i < r.e {_MOVING}),
+far AS (SELECT rec, s AS a, e AS b FROM begun WHERE e - s > 10),
+inner_ AS (SELECT f.rec, a, b, e AS p, lead(s) OVER (PARTITION BY f.rec, a ORDER BY s) AS q FROM far f JOIN burst u ON u.rec = f.rec AND a <= (s + e) // 2 AND (s + e) // 2 < b),
+rests AS (SELECT r.rec, a, b, first(y.i ORDER BY y.v, y.i) AS low FROM inner_ r JOIN env y ON y.rec = r.rec AND y.i >= p AND y.i < q JOIN lv ON lv.rec = r.rec WHERE q - p >= 2 GROUP BY r.rec, a, b, p, q HAVING bool_and(y.v < down)),
+slow AS (SELECT r.rec, b, low, first(y.i ORDER BY y.v, y.i) AS s FROM rests r JOIN spd y ON y.rec = r.rec AND y.i BETWEEN low - 2 AND low + 2 GROUP BY r.rec, b, low),
+fit AS (SELECT w.rec, w.s, w.b FROM (SELECT DISTINCT rec, s, b FROM slow) w JOIN sig x ON x.rec = w.rec AND x.i >= w.s AND x.i < w.b {_MOVING}),
+src AS (SELECT f.rec, f.a AS part, g.i, g.v AS x, g.enter AS h, 0.5 * g.enter AS pr FROM far f ANTI JOIN rests r ON r.rec = f.rec AND r.a = f.a JOIN go g ON g.rec = f.rec AND g.i >= f.a AND g.i < f.b),
+{_peaks(2)},
+onset AS (SELECT rec, s AS o FROM begun UNION SELECT rec, s FROM fit UNION SELECT rec, cut FROM valley),
+foot AS (SELECT DISTINCT rec, s FROM (SELECT o.rec, o, coalesce(max(g.i) FILTER (WHERE g.v <= g.leave), greatest(0, o - 2)) AS s FROM onset o JOIN go g ON g.rec = o.rec AND g.i BETWEEN o - 2 AND o GROUP BY 1, 2)),
+act AS (SELECT rec, s, coalesce(lead(s) OVER (PARTITION BY rec ORDER BY s), n) AS e, mid FROM foot JOIN awake USING (rec)),
+ends AS (SELECT a.rec, a.s, a.e, a.mid, min(r.e) AS re FROM act a LEFT JOIN run r ON r.rec = a.rec AND r.e > a.s AND r.s < a.e GROUP BY ALL),
+moved AS (SELECT rec, s, e, mid, CASE WHEN re IS NOT NULL THEN least(greatest(s + 1, re), e - 1) ELSE greatest(s + 1, least(s + 2, e - 1)) END AS m FROM ends),
+apexes AS (SELECT w.rec, s, e, m, first(x.i ORDER BY round(abs(x.k - mid), 9) DESC, x.i) AS apex FROM moved w JOIN sig x ON x.rec = w.rec AND x.i >= CASE WHEN e - m >= 2 THEN m ELSE s END AND x.i < e GROUP BY w.rec, s, e, m),
+found AS (SELECT *, m > s AND EXISTS (SELECT 1 FROM burst b WHERE b.rec = a.rec AND b.e > a.s AND b.s < a.m) AS active FROM apexes a)
+SELECT rec, s, e, s AS motion_s, m AS motion_e, m AS hold_s, e AS hold_e, apex, CASE WHEN active THEN 'both' ELSE 'pose_only' END AS fusion_type,
+  CASE WHEN (m - s) / 10.0 > 1.0 THEN 'long' WHEN (e - m) / 10.0 < 0.35 THEN 'nohold' WHEN NOT active THEN 'slow' WHEN (e - m) / 10.0 > 4.0 THEN 'long_static' ELSE '' END AS review_flag FROM found"""
+
+
+@query(_ACTIONS)
 def detect_actions(t):
     return detect.detect_actions(sig(t), ["v", "k"], ["k"], DETECTOR)
 
 
-@query()
+@query(_ACTIONS)
 def detect_actions_long(t):
     return detect_long.detect_actions(sig(t), ["v", "k"], ["k"], DETECTOR)
 

@@ -314,11 +314,11 @@ def subject_centred(t):
     return score.subject_normalised(features(t).withColumn("subject", F.col("key") % 5), "center").select("key", "dim", r("z", 5))
 
 
-@query(f"""WITH {_FEAT}, c AS (SELECT key, dim, x, avg(x) OVER (PARTITION BY dim) AS m, stddev_pop(x) OVER (PARTITION BY dim) AS d FROM feat), z AS (SELECT key, list(round((x - m) / d * sqrt(dim % 3), 5) ORDER BY dim) AS z FROM c GROUP BY key) SELECT * FROM z""")
+@query(f"""WITH {_FEAT}, c AS (SELECT key, dim, x, avg(x) OVER (PARTITION BY dim) AS m, stddev_pop(x) OVER (PARTITION BY dim) AS d FROM feat), z AS (SELECT key, list(round((x - m) / d * sqrt(dim % 3), 5) + 0.0 ORDER BY dim) AS z FROM c GROUP BY key) SELECT * FROM z""")
 def weighted_vectors(t):
     rows = t("embeddings").select(F.col("vec_id").alias("key"), "embedding")
     out = learn.zscored_vectors(rows, weights=[float(k % 3) for k in range(64)])
-    return out.select("key", F.transform("z", lambda x: F.round(x, 5)).alias("z"))
+    return out.select("key", F.transform("z", lambda x: F.round(x, 5) + F.lit(0.0)).alias("z"))
 
 
 @query("""WITH a AS (SELECT vec_id AS key, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::BIGINT AS cluster, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
