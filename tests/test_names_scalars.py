@@ -1,5 +1,7 @@
 import math
+import struct
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tremorlake.functions import names, scalars
@@ -57,3 +59,15 @@ def test_scalars(spark):
     assert [tuple(x) for x in cube] == [(0.0, 2.0), (0.0, 2.0), (-1.0, 1.0)]
     assert one(spark, scalars.centred(F.array(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.array(F.lit(3.0), F.lit(2.0), F.lit(1.0))), [0, 1]))[0] == [-1.0, 0.0, 1.0]
     assert one(spark, scalars.clean_label(F.lit(" a "), F.lit(False))) == "a" and one(spark, scalars.clean_label(F.lit("a"), F.lit(True))) == ""
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Bits and all: by the scaled double, halves away from zero, with the sign of what rounds to zero."""
+    odd = [0.0, -0.0, -2e-7, 2e-7, 5e-7, -5e-7, 0.49999999999999994e-6, 1.0000005, 78.8915625, 1e300, 1e303, 9007199254.740993, float("inf"), float("-inf"), float("nan"), None]
+    values = odd + [(2 * k + 1) / 2e6 for k in range(-30000, 30000, 7)]
+    want = duckdb.execute("SELECT list_transform($1::DOUBLE[], lambda x: round(x, 6))", [values]).fetchall()[0][0]
+    df = spark.createDataFrame([(values,)], "v array<double>")
+    got = df.select(F.transform("v", lambda x: scalars.rounded(x, 6)).alias("v")).first()["v"]
+    flat = [r["v"] for r in df.select(F.explode("v").alias("v")).select(scalars.rounded(F.col("v"), 6).alias("v")).collect()]
+    bits = lambda rows: [x if x is None else struct.pack(">d", x) for x in rows]
+    assert bits(got) == bits(want) == bits(flat)

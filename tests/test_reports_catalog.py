@@ -74,3 +74,13 @@ def test_a_cluster_must_name_its_shared_folder():
         assert "spark.checkpoint.dir" in str(e)
     else:
         raise AssertionError("a machine's own folder was taken")
+
+
+def test_segment_means_add_in_the_samples_order(spark):
+    """The values add to 0 in their order and to 1 or more in others; samples may arrive in any."""
+    values = [1.0, 1e16, -1e16, 0.0, 1.0, 1e16, -1e16, 0.0]
+    x = spark.createDataFrame([("a", i, v, float(i)) for i, v in reversed(list(enumerate(values)))] + [("a", 8, None, None), ("a", 9, 7.0, 1.0)], "rec string, i long, v double, k double")
+    runs = spark.createDataFrame([("a", 0, 9), ("a", 9, 10), ("a", 10, 12)], "rec string, s long, e long")
+    for arriving in (x.coalesce(1), x.repartition(5)):
+        got = {r["s"]: tuple(r)[2:] for r in reports.segment_statistics(runs, arriving, ["k"], ["v", "k"], "v").collect()}
+        assert got == {0: (9, 0.0, 1e16, 17.5**0.5, [0.0, 3.5]), 9: (10, 7.0, 7.0, 1.0, [7.0, 1.0])}

@@ -53,6 +53,16 @@ def number_or_null(x: Column) -> Column:
     return finite(x)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to ``digits`` places as SQL engines round doubles: the scaled double to the whole number nearest it, halves away from zero, and the sign kept, so that
+    what is a little below zero gives -0.0. Spark's ``round`` goes by the shortest decimal text and knows no -0.0.
+    """
+    scale = 10.0**digits
+    y = F.abs(x * scale)
+    whole = F.when(y < 2.0**52, F.floor(y) + F.floor((y - F.floor(y)) * 2)).otherwise(y)
+    return F.when(F.isnan(y) | (y == float("inf")), x).otherwise(F.signum(x) * whole / scale)
+
+
 def clean_label(label: Column, invalid: Column) -> Column:
     """Trimmed label; empty when the clip is invalid or has none."""
     return F.when(invalid, "").otherwise(F.trim(F.coalesce(label, F.lit(""))))

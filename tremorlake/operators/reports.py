@@ -47,12 +47,20 @@ def diagnostics(actions: DataFrame, fs: float, min_static_s: float, key: str = "
 
 
 def segment_statistics(runs: DataFrame, samples: DataFrame, emg: list[str], pose: list[str], speed: str, key: str = "rec", order: str = "i") -> DataFrame:
-    """Per interval the mean and largest speed, the RMS of the muscle channels and the mean of each pose channel, over known values."""
+    """Per interval the mean and largest speed, the RMS of the muscle channels and the mean of each pose channel, over known values.
+
+    Means add up in the samples' order, so that the way in which rows arrive moves no last digit. A running sum holds one value, however long the interval.
+    """
     inside = intervals.samples_in(runs.select(key, "s", "e"), samples, {c: F.col(c) for c in dict.fromkeys([*emg, *pose, speed])}, key=key, order=order)
     square = sum((F.col(c) * F.col(c) for c in emg), F.lit(0.0)) / len(emg)
-    return inside.groupBy(key, "s", "e").agg(
-        F.avg(speed).alias("mean_speed"), F.max(speed).alias("max_speed"), F.sqrt(F.avg(square)).alias("emg_rms"), F.array(*[F.avg(c) for c in pose]).alias("mean_pose")
-    )
+    in_order = Window.partitionBy(key, "s", "e").orderBy("__i")
+    mean = lambda c: F.avg(c).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    largest = F.max(speed).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = inside.select(
+        key, "s", "e", mean(F.col(speed)).alias("mean_speed"), largest.alias("max_speed"), F.sqrt(mean(square)).alias("emg_rms"), F.array(*[mean(F.col(c)) for c in pose]).alias("mean_pose"),
+        F.lead(F.lit(True), 1, False).over(in_order).alias("__more"),
+    )
+    return so_far.where("not __more").drop("__more")
 
 
 def _summary(value: Column, names: str) -> list[Column]:

@@ -209,7 +209,8 @@ def diagnostics(t):
 FROM burst b JOIN sig x ON x.rec = b.rec AND x.i >= s AND x.i < e GROUP BY ALL""")
 def segment_statistics(t):
     out = reports.segment_statistics(bursts(t), sig(t), ["v", "k"], ["v", "k"], "k")
-    return out.select("rec", "s", "e", r("mean_speed"), "max_speed", r("emg_rms"), F.transform("mean_pose", lambda x: F.round(x, 6)).alias("mean_pose"))
+    of = lambda x: scalars.rounded(x, 6)
+    return out.select("rec", "s", "e", of(F.col("mean_speed")).alias("mean_speed"), "max_speed", of(F.col("emg_rms")).alias("emg_rms"), F.transform("mean_pose", of).alias("mean_pose"))
 
 
 @query(f"""WITH {SIG}, d AS (SELECT i % 21 AS joint, sqrt((v - k) ** 2 + (k - i) ** 2) AS d FROM sig)
