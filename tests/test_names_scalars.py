@@ -4,6 +4,7 @@ import struct
 import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tremorlake.functions import names, scalars
 
 
@@ -71,3 +72,14 @@ def test_rounding_is_that_of_the_sql(spark):
     flat = [r["v"] for r in df.select(F.explode("v").alias("v")).select(scalars.rounded(F.col("v"), 6).alias("v")).collect()]
     bits = lambda rows: [x if x is None else struct.pack(">d", x) for x in rows]
     assert bits(got) == bits(want) == bits(flat)
+
+
+def test_trajectories_equal_their_sql_where_steps_round_to_nothing(spark, tmp_path):
+    a = [0.1 * k for k in range(64)]
+    b = [a[k % 16] + (k // 16) * (-1.0) ** k * 1e-7 for k in range(64)]  # frames that differ from the first by less than rounding shows
+    spark.createDataFrame([(1, a), (2, b)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {tuple(x[:2]): x[2:] for x in con.execute(f"SELECT key, frame, centred, velocity FROM ({__spark_entry__.oracle_sql()['trajectories']})").fetchall()}
+    got = {(x["key"], x["frame"]): (x["centred"], x["velocity"]) for x in __spark_entry__.queries()["trajectories"](spark, str(tmp_path)).collect()}
+    assert "-0.0" in str(want[2, 1]) and str(got) == str({k: want[k] for k in got}) and len(got) == len(want) == 8

@@ -293,7 +293,7 @@ FROM f a JOIN f b ON a.key = b.key AND b.k = 0 LEFT JOIN f c ON c.key = a.key AN
 def trajectories(t):
     parts = F.array(*[F.slice(F.col("embedding").cast("array<double>"), 16 * k + 1, 16) for k in range(4)])
     rows = t("embeddings").select(F.col("vec_id").alias("key"), scalars.trajectory(parts, "centered").alias("c"), scalars.trajectory(parts, "velocity").alias("v"))
-    rounded = lambda a: F.transform(a, lambda x: F.round(x, 6))
+    rounded = lambda a: F.transform(a, lambda x: scalars.rounded(x, 6))
     return rows.select("key", F.posexplode("c").alias("frame", "f"), "v").select("key", "frame", rounded(F.col("f")).alias("centred"), rounded(F.get("v", F.col("frame"))).alias("velocity"))
 
 
